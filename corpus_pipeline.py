@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tremorlake.llm import decontaminate, line_dedup, minhash, packing
+from tremorlake.llm import decontaminate, line_dedup, minhash, packing, quality
 from tremorlake.llm.shared import written
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    kept = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that had text and has none left goes too."""
     cut = line_dedup.line_dedup(docs)
@@ -26,7 +32,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("line_dedup", lines), ("near_dedup", near), ("decontamination", leaks), ("packing", pack)]
+STAGES = [("quality", good), ("line_dedup", lines), ("near_dedup", near), ("decontamination", leaks), ("packing", pack)]
 #: Sketches, the automaton and packing have no SQL; tests hold run() against a version by brute force.
 ORACLE_SQL = None
 

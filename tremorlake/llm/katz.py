@@ -1,0 +1,211 @@
+"""LM scoring: Katz backoff over bytes with Good-Turing discounts and exactly normalised backoff weights.
+
+A token is a byte of UTF-8 text, or the end mark; contexts at the start of a
+text hold start marks. Every position of every document is counted, at the
+highest order; the lower orders are sums over it. With bytes the tables grow
+with the corpus only as far as its writing systems go, so tasks look them up in
+the shared folder where they read the texts, and no token is shuffled.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructType
+
+from .kernel import Lookup, by_bytes, mix, raw, total
+from .shared import folder, written
+
+MARK = 256
+SYMBOLS = 257
+_BITS = 9
+
+
+def grams(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, first): the n-gram that ends at each byte and at each end mark, 9 bits a symbol, the latest lowest."""
+    rows = len(offs) - 1
+    lead = order - 1
+    size = np.diff(offs)
+    seq = np.full(data.size + rows * (lead + 1), MARK, np.uint64)
+    seq[np.arange(data.size) + np.repeat(np.arange(rows) * (lead + 1) + lead, size)] = data
+    first = offs + (lead + 1) * np.arange(rows + 1)
+    key = seq.copy()
+    for k in range(1, order):
+        key[k:] |= seq[:-k] << np.uint64(_BITS * k)
+    real = np.ones(len(seq), bool)
+    for k in range(lead):
+        real[first[:-1] + k] = False
+    return key[real], offs + np.arange(rows + 1)
+
+
+def counts(docs: DataFrame, order: int, most: int = 1 << 21) -> DataFrame:
+    """(key, c) of the n-grams of rows (_text); counted in each task before they are shuffled."""
+    schema = StructType().add("key", LongType()).add("c", LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for b in by_bytes(batches, "_text", 2 << 20):
+            x, n = np.unique(grams(*raw(b.column(0)), order)[0], return_counts=True)
+            both = np.concatenate([k, x])
+            o = np.argsort(both, kind="stable")
+            both, n = both[o], np.concatenate([c, n])[o]
+            new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            k, c = both[new], np.add.reduceat(n, new)
+            if len(k) > most:
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["key", "c"])
+                k, c = k[:0], c[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["key", "c"])
+
+    return docs.mapInArrow(run, schema).groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def turing(c: DataFrame, k: int = 5) -> dict[int, float]:
+    """Discount ratios d[r] of counts 1 to k; none where the counts of counts don't give one in (0, 1)."""
+    n = {int(r[0]): int(r[1]) for r in c.where(F.col("c") <= k + 1).groupBy("c").count().collect()}
+    out = {}
+    top = (k + 1) * n.get(k + 1, 0) / n[1] if n.get(1) else 1.0
+    for r in range(1, k + 1):
+        if n.get(r) and n.get(r + 1) and top < 1:
+            d = ((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top)
+            if 0 < d < 1:
+                out[r] = d
+    return out
+
+
+def train(docs: DataFrame, order: int = 5) -> str:
+    """Path of the model of all rows (_text): tables of (key, p, alpha) in the shared folder, partitioned by order.
+
+    Where no count of a context is discounted, one unit of count is left to
+    what it hasn't been followed by, so every backoff weight is positive unless
+    all symbols follow; the probabilities of each context sum to one exactly.
+    """
+    top = written(counts(docs, order))
+    table = {order: top}
+    for k in range(order - 1, 0, -1):
+        low = F.col("key").bitwiseAND((1 << (_BITS * k)) - 1)
+        table[k] = written(table[k + 1].groupBy(low.alias("key")).agg(F.sum("c").alias("c")))
+    path = folder(docs.sparkSession)
+    lower = None
+    for k in range(1, order + 1):
+        d = F.lit(1.0)
+        for r, v in turing(table[k]).items():
+            d = F.when(F.col("c") == r, F.lit(v)).otherwise(d)
+        ctx = F.shiftright("key", _BITS)
+        x = table[k].select("key", ctx.alias("h"), F.col("key").bitwiseAND((1 << (_BITS * (k - 1))) - 1).alias("low"), F.col("c").cast("double").alias("c"), d.alias("d"))
+        if lower is None:
+            x = x.withColumn("q", F.lit(1.0 / SYMBOLS))
+        else:
+            x = x.join(lower.select(F.col("key").alias("low"), F.col("p").alias("q")), "low")
+        h = x.groupBy("h").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("d")).alias("dn"), F.sum("q").alias("q"), F.count("*").alias("seen"), F.max("d").alias("md"), F.min("d").alias("nd"))
+        room = F.when(F.col("seen") == SYMBOLS, 0.0).otherwise(F.greatest(1 - F.col("q"), F.lit(1e-12)))
+        scale = F.when(F.col("seen") == SYMBOLS, F.col("n") / F.col("dn")).when(F.col("nd") == 1.0, F.col("n") / (F.col("n") + 1)).otherwise(1.0)
+        h = h.select("h", "n", scale.alias("scale"), (F.when(F.col("seen") == SYMBOLS, 0.0).otherwise((1 - scale * F.col("dn") / F.col("n")) / room)).alias("alpha"))
+        p = written(x.join(h, "h").select("key", (F.col("scale") * F.col("d") * F.col("c") / F.col("n")).alias("p")))
+        p.write.parquet(f"{path}/kind=p/order={k}")
+        h.select(F.col("h").alias("key"), F.col("alpha").alias("p")).write.parquet(f"{path}/kind=alpha/order={k}")
+        lower = p
+    return path
+
+
+class Model:
+    """The tables of a path, by order; score() evaluates the recursion for all tokens of a batch at once."""
+
+    def __init__(self, path: str, order: int):
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path if path.startswith("file:") or "://" in path else f"file://{path}")
+        self.order, self.p, self.alpha = order, {}, {}
+        for k in range(1, order + 1):
+            for kind, into in (("p", self.p), ("alpha", self.alpha)):
+                t = pq.read_table(f"{at}/kind={kind}/order={k}", filesystem=system, partitioning=None)
+                key = mix(t["key"].to_numpy().view(np.uint64))  # one to one
+                o = np.argsort(key)
+                with np.errstate(divide="ignore"):
+                    into[k] = Lookup(key[o]), np.log(t["p"].to_numpy()[o])
+
+    def log_p(self, key: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(key))
+        todo = np.arange(len(key))
+        for k in range(self.order, 0, -1):
+            now = key[todo] & np.uint64((1 << (_BITS * k)) - 1)
+            lk, v = self.p[k]
+            i = lk.find(mix(now))
+            hit = i >= 0
+            out[todo[hit]] += v[i[hit]]
+            todo, now = todo[~hit], now[~hit]
+            if not len(todo):
+                return out
+            lk, v = self.alpha[k]
+            i = lk.find(mix(now >> np.uint64(_BITS)))
+            out[todo] += np.where(i >= 0, v[np.maximum(i, 0)], 0.0) if len(v) else 0.0
+        out[todo] += -np.log(SYMBOLS)
+        return out
+
+
+_models: dict[str, Model] = {}
+
+
+def score(docs: DataFrame, path: str, order: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, log_prob, perplexity) of all rows under the model at path.
+
+    Null or empty texts have the end mark alone as their token. Repeated rows
+    are each scored; other columns are ignored.
+    """
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    schema = StructType().add("_id", slim.schema["_id"].dataType).add("n_tokens", LongType()).add("log_prob", DoubleType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _models:
+            _models.clear()
+            _models[path] = Model(path, order)
+        for b in by_bytes(batches, "_text", 1 << 20):
+            key, first = grams(*raw(b.column(1)), order)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), pa.array(total(_models[path].log_p(key), first))], schema.names)
+
+    return slim.mapInArrow(run, schema).select(F.col("_id").alias(id_col), "n_tokens", "log_prob", F.exp(-F.col("log_prob") / F.col("n_tokens")).alias("perplexity"))
+
+
+def score_joined(docs: DataFrame, path: str, order: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score() for a model too large for a task: the distinct n-grams of each document are joined with the tables, order by order."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    slim = written(slim)
+    schema = StructType().add("_row", LongType()).add("key", LongType()).add("n", LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "_text", 1 << 20):
+            key, first = grams(*raw(b.column(1)), order)
+            row = np.repeat(b.column(2).to_numpy(), np.diff(first))
+            o = np.lexsort((key, row))
+            key, row = key[o], row[o]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(row[new]), pa.array(key[new].view(np.int64)), pa.array(np.diff(np.append(new, len(key))))], schema.names)
+
+    todo, parts = slim.mapInArrow(run, schema).withColumn("lp", F.lit(0.0)), None
+    size = F.sum("n")
+    for k in range(order, 0, -1):
+        p = spark.read.parquet(f"{path}/kind=p/order={k}")
+        x = written(todo.withColumn("key", F.col("key").bitwiseAND((1 << (_BITS * k)) - 1)).join(p, "key", "left"))
+        hit = x.where("p is not null").groupBy("_row").agg(F.sum(F.col("n") * (F.col("lp") + F.log("p"))).alias("lp"), size.alias("n"))
+        parts = hit if parts is None else parts.unionByName(hit)
+        alpha = spark.read.parquet(f"{path}/kind=alpha/order={k}").select(F.col("key").alias("h"), F.col("p").alias("alpha"))
+        todo = x.where("p is null").withColumn("h", F.shiftright("key", _BITS)).join(alpha, "h", "left").select("_row", "key", "n", (F.col("lp") + F.coalesce(F.log("alpha"), F.lit(0.0))).alias("lp"))
+    parts = parts.unionByName(todo.groupBy("_row").agg(F.sum(F.col("n") * (F.col("lp") - float(np.log(SYMBOLS)))).alias("lp"), size.alias("n")))
+    sums = parts.groupBy("_row").agg(F.sum("lp").alias("log_prob"), F.sum("n").alias("n_tokens"))
+    return slim.select("_row", F.col("_id").alias(id_col)).join(sums, "_row").select(id_col, "n_tokens", "log_prob", F.exp(-F.col("log_prob") / F.col("n_tokens")).alias("perplexity"))
+
+
+def katz(docs: DataFrame, order: int = 6, id_col: str = "doc_id", text_col: str = "text", resident: int = 40_000_000) -> DataFrame:
+    """score() of all documents under the model of all documents.
+
+    Up to `resident` n-grams are looked up in the tasks; the rows of a larger
+    model are joined instead, with the same result. An empty table gives an
+    empty result.
+    """
+    path = train(docs.select(F.col(text_col).alias("_text")), order)
+    size = docs.sparkSession.read.parquet(f"{path}/kind=p").count()
+    return (score if size <= resident else score_joined)(docs, path, order, id_col, text_col)

@@ -186,3 +186,30 @@ class Lookup:
             go = ~hit & (lo < hi) & (k < q)
             idx, lo, hi, q = idx[go], lo[go], hi[go], q[go]
         return out
+
+
+_CLASS = np.where(_WORD, 1, 2).astype(np.uint8)
+_CLASS[:33] = 0
+
+
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first) of the case-sensitive words and runs of punctuation; row i has first[i]:first[i+1]."""
+    n = data.size
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+    c = _CLASS[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offs] = True
+    change = np.empty(n + 1, bool)
+    change[0] = change[-1] = True
+    change[1:-1] = c[1:] != c[:-1]
+    change |= edge
+    start = np.flatnonzero(change[:-1] & (c > 0))
+    end = np.flatnonzero(change[1:] & (c > 0)) + 1
+    return span_hash(data, start, end), np.searchsorted(start, offs)
+
+
+def total(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of values[first[i]:first[i+1]] for each row."""
+    acc = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return acc[first[1:]] - acc[first[:-1]]

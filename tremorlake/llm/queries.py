@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, minhash, packing, token_counts
+from . import decontaminate, katz, line_dedup, minhash, packing, quality, token_counts
 
 TOKENIZER = os.environ.get("TREMORLAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -28,6 +28,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with their scores."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep")
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).withColumn("n_chars", F.length("text").cast("bigint"))
 
@@ -45,5 +54,5 @@ SELECT d.doc_id, coalesce(t.text, CASE WHEN d.text IS NOT NULL THEN '' END) AS t
 FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_near_duplicates, op4_decontamination, op9_line_dedup, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_near_duplicates, op4_decontamination, op5_quality_classifier, op8_lm_scoring, op9_line_dedup, op10_best_fit_packing)}
 ORACLE = {"op9_line_dedup": LINE_DEDUP_SQL}
