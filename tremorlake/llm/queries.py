@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, katz, line_dedup, minhash, packing, quality, token_counts
+from . import chat, decontaminate, katz, licences, line_dedup, minhash, neighbours, packing, quality, token_counts
 
 TOKENIZER = os.environ.get("TREMORLAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -20,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,15 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_format(table(spark, sf_dir, "conversations"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.license_scan(docs, F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz(table(spark, sf_dir, "documents"))
 
@@ -54,5 +67,11 @@ SELECT d.doc_id, coalesce(t.text, CASE WHEN d.text IS NOT NULL THEN '' END) AS t
 FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_near_duplicates, op4_decontamination, op5_quality_classifier, op8_lm_scoring, op9_line_dedup, op10_best_fit_packing)}
-ORACLE = {"op9_line_dedup": LINE_DEDUP_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_nearest_neighbours, op3_near_duplicates, op4_decontamination, op5_quality_classifier, op6_chat_format, op7_license_scan, op8_lm_scoring, op9_line_dedup, op10_best_fit_packing)}
+CHAT_SQL = """
+WITH m AS (SELECT conv_id, turn, role, text, regexp_matches(role || chr(10) || text, '<\|im_(start|end)\|>') OR regexp_matches(role || chr(10) || text, '<\\+\|') OR text = '<|null|>' OR role = '<|null|>' OR contains(role, chr(10)) OR contains(role, '<|nl|>') AS bad FROM conversations),
+r AS (SELECT conv_id, turn, role, text, bad, CASE WHEN bad THEN replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), chr(10), '<|nl|>') ELSE role END AS er, CASE WHEN bad THEN regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') ELSE text END AS et FROM m)
+SELECT conv_id, count(*) AS n_turns, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS n_escaped, string_agg('<|im_start|>' || er || chr(10) || et || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+FROM r GROUP BY conv_id
+"""
+ORACLE = {"op6_chat_format": CHAT_SQL, "op9_line_dedup": LINE_DEDUP_SQL}
