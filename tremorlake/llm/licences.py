@@ -110,8 +110,9 @@ def term_counts(files: DataFrame, templates: dict[str, list[str]]) -> tuple[int,
 def notices(files: DataFrame, templates: dict[str, list[str]], threshold: float) -> DataFrame:
     """(_id, _path, licence, score, line): the best notice of each file that has one; rows (_id, _path, _text).
 
-    A segment is compared if it holds a word that is in at most one text of a
-    hundred: without one its cosine to any template is low.
+    A segment is compared if it holds a word that is in at most one text of
+    twenty, or any word of a template without such words; without one its
+    cosine to any template is low.
     """
     n, df = term_counts(files.select("_text"), templates)
     t = _Templates(templates, n, df)
