@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import retrieval  # noqa: F401
+from .plans import analyze, impact, measures, retrieval  # noqa: F401
 from .plans.registry import ORACLE, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the smallest table, until the retrieval pipeline is here."""
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """The whole analysis of every request, with propagation and all gates."""
+    return analyze.analyze_v7(spark, sf_dir)

@@ -38,7 +38,8 @@ def steps(edges: DataFrame, config: DataFrame) -> DataFrame:
 def propagate(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, config: DataFrame, hub_degree: int = 20, max_depth: int = 3, written=lambda df: df) -> DataFrame:
     """(node_id, depth, chain, path, seed, severity, is_seed): what changes to the seeds may reach.
 
-    seeds: (node_id, ord, low). Breadth first, level by level: an arrival counts
+    seeds: (node_id, ord, low), and cr where several requests are followed at
+    once, each by itself. Breadth first, level by level: an arrival counts
     if its severity is better than all that came to its node before, in the
     order of (parent, edge type, neighbour). Depth is capped by edge type; at
     one for hubs, for calls of low-confidence seeds and for calls of utility
@@ -51,31 +52,34 @@ def propagate(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, config: Data
         "node_id", F.coalesce("degree", F.lit(0)).alias("degree"), (F.col("node_type") == dims.NEVER).alias("never"),
         ((cap[F.col("node_type")] > 0) & (F.coalesce("in_degree", F.lit(0)) > cap[F.col("node_type")])).alias("crowded"), (F.col("file_class") == "UTILITY").alias("utility"),
     )
-    first = seeds.groupBy("node_id").agg(F.min_by("low", "ord").alias("low"), F.min("ord").alias("ord"))
+    single = "cr" not in seeds.columns
+    seeds = seeds.withColumn("cr", F.lit(0)) if single else seeds
+    key = ["cr", "node_id"]
+    first = seeds.groupBy(*key).agg(F.min_by("low", "ord").alias("low"), F.min("ord").alias("ord"))
     closed = info.where(F.col("never") | F.col("crowded")).select(F.col("node_id").alias("nbr"))
-    step = written(steps(edges, config).join(closed, "nbr", "left_anti").join(first.select(F.col("node_id").alias("nbr")), "nbr", "left_anti").join(info.select(F.col("node_id").alias("u"), (F.col("degree") > hub_degree).alias("hub")), "u"))
+    step = written(steps(edges, config).join(closed, "nbr", "left_anti").join(info.select(F.col("node_id").alias("u"), (F.col("degree") > hub_degree).alias("hub")), "u").withColumnRenamed("ord", "edge_ord"))
     start = first.join(info.select("node_id", "utility"), "node_id", "left")
-    level = start.select("node_id", F.lit(0).alias("depth"), F.array().cast("array<string>").alias("chain"), F.array("node_id").alias("path"), F.col("node_id").alias("seed"), F.coalesce("low", F.lit(False)).alias("low"), F.coalesce("utility", F.lit(False)).alias("utility"), F.array(F.lpad(F.col("ord").cast("string"), 12, "0")).alias("seq"), F.lit(-1).alias("rank"))
+    level = start.select(*key, F.lit(0).alias("depth"), F.array().cast("array<string>").alias("chain"), F.array("node_id").alias("path"), F.col("node_id").alias("seed"), F.coalesce("low", F.lit(False)).alias("low"), F.coalesce("utility", F.lit(False)).alias("utility"), F.array(F.lpad(F.col("ord").cast("string"), 12, "0")).alias("seq"), F.lit(-1).alias("rank"))
     level = written(level)
-    found, best = level, level.select("node_id", "rank")
+    found, best, given = level, level.select(*key, "rank"), level.select(*key)
     for depth in range(max_depth):
         calls = F.col("edge_type") == "CALLS"
         limit = F.when(F.col("hub") | (calls & (F.col("low") | F.col("utility"))), F.lit(1)).otherwise(F.col("max_depth"))
         arrive = level.join(step, level["node_id"] == step["u"]).where(F.lit(depth) < limit)
         arrive = arrive.select(
-            F.col("nbr").alias("node_id"), F.lit(depth + 1).alias("depth"), F.concat("chain", F.array("edge_type")).alias("chain"), F.concat("path", F.array("nbr")).alias("path"), "seed", "low", "utility",
-            F.concat("seq", F.array(F.lpad(F.col("ord").cast("string"), 3, "0"), F.col("nbr"))).alias("seq"), severity_rank(severity(F.array("edge_type"))).alias("rank"),
-        )
-        w = Window.partitionBy("node_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-        before = best.groupBy("node_id").agg(F.min("rank").alias("had"))
-        arrive = arrive.join(before, "node_id", "left").withColumn("least", F.least(F.coalesce("had", F.lit(9)), F.coalesce(F.min("rank").over(w), F.lit(9)))).where(F.col("rank") < F.col("least"))
+            "cr", F.col("nbr").alias("node_id"), F.lit(depth + 1).alias("depth"), F.concat("chain", F.array("edge_type")).alias("chain"), F.concat("path", F.array("nbr")).alias("path"), "seed", "low", "utility",
+            F.concat("seq", F.array(F.lpad(F.col("edge_ord").cast("string"), 3, "0"), F.col("nbr"))).alias("seq"), severity_rank(severity(F.array("edge_type"))).alias("rank"),
+        ).join(given, key, "left_anti")
+        w = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        before = best.groupBy(*key).agg(F.min("rank").alias("had"))
+        arrive = arrive.join(before, key, "left").withColumn("least", F.least(F.coalesce("had", F.lit(9)), F.coalesce(F.min("rank").over(w), F.lit(9)))).where(F.col("rank") < F.col("least"))
         level = written(arrive.drop("had", "least"))
         found = found.unionByName(level)
-        best = best.unionByName(level.select("node_id", "rank"))
+        best = best.unionByName(level.select(*key, "rank"))
         if not level.limit(1).count():
             break
-    last = found.groupBy("node_id").agg(F.min_by(F.struct("depth", "chain", "path", "seed"), "rank").alias("t"))
-    return last.select("node_id", "t.depth", "t.chain", "t.path", "t.seed", severity(F.col("t.chain")).alias("severity"), (F.col("t.depth") == 0).alias("is_seed"))
+    last = found.groupBy(*key).agg(F.min_by(F.struct("depth", "chain", "path", "seed"), "rank").alias("t"))
+    return last.select(*(["node_id"] if single else key), "t.depth", "t.chain", "t.path", "t.seed", severity(F.col("t.chain")).alias("severity"), (F.col("t.depth") == 0).alias("is_seed"))
 
 
 def collapse_fields(cis: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
