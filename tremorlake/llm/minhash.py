@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
 
 from .kernel import by_bytes, combine, mix, ngrams, raw, words
-from .shared import written
+from .shared import folder, written
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,27 +86,56 @@ def sketches(docs: DataFrame, n: int, t: int, r: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _filter(ids: DataFrame) -> tuple[str, int]:
+    """(path, bits) of a Bloom filter of ids in the shared folder: 16 bits an id, 64 MB at most; beyond that it only lets more pass."""
+    n = ids.count()
+    bits = 1 << min(29, max(15, (16 * n).bit_length()))
+    spots = F.array(*[F.pmod(F.xxhash64(F.lit(k), "_id"), F.lit(bits)) for k in range(4)])
+    path = folder(ids.sparkSession)
+    each = ids.select(F.explode(spots).alias("bit")).select(F.col("bit") + 1).toDF("bit")  # positions count from 1
+    each.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap")).write.parquet(path)
+    return path, bits
+
+
 def verify(docs: DataFrame, pairs: DataFrame, n: int, tau: float) -> DataFrame:
     """(a, b, same) of the pairs (a, b) of ids: whether the Jaccard similarity of the whole sets is at least tau.
 
-    Each side's set goes once to every pair's first id: rows are sorted by
-    (a, salt) with a's set ahead, and read as a stream, so a group of any size
-    needs the memory of two sets. Large groups are salted over tasks.
+    A Bloom filter of the ids keeps all other documents from being shuffled. A
+    set goes to every pair's first id: rows are sorted by (a, salt) with a's
+    set ahead, and read as a stream, so a group of any size needs the memory of
+    two sets. Large groups are salted over tasks.
     """
     kind = docs.schema["_id"].dataType
-    need = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    salted = pairs.withColumn("_s", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), (F.count("*").over(_w("a")) / 1000).cast("int"))))
+    ends = written(salted.select("a", "_s", "b", F.col("b").alias("_id")).union(salted.select("a", "_s", F.lit(None).cast(kind), F.col("a")).distinct()))
+    path, bits = _filter(ends.select("_id").distinct())
+    hashes = [F.pmod(F.xxhash64(F.lit(k), "_id"), F.lit(bits)).alias(f"_h{k}") for k in range(4)]
     sets_schema = StructType().add("_id", kind).add("_set", BinaryType())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path if path.startswith("file:") or "://" in path else f"file://{path}")
+        have = np.zeros(bits // 8, np.uint8)
+        t = pq.read_table(at, filesystem=system, partitioning=None)
+        for bucket, bitmap in zip(t["bucket"].to_pylist(), t["bitmap"].to_pylist()):  # bucket k has the bits from (k - 1) * 32768
+            part = np.frombuffer(bitmap, np.uint8)
+            lo = (bucket - 1) * len(part)
+            have[lo : lo + len(part)] |= part[: len(have) - lo]
         for x in by_bytes(batches, "_text"):
+            ok = np.ones(x.num_rows, bool)
+            for k in range(4):
+                h = x.column(2 + k).to_numpy()
+                ok &= (have[h >> 3] >> (h & 7)) & 1 == 1
+            if not ok.any():
+                continue
+            x = x.filter(pa.array(ok))
             g, first = shingle_sets(*raw(x.column(1)), n)
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array([g[first[i] : first[i + 1]].tobytes() for i in range(x.num_rows)], pa.binary())], ["_id", "_set"])
 
-    own = written(docs.join(need, "_id", "left_semi").select("_id", "_text").mapInArrow(sets, sets_schema))
-    salted = pairs.withColumn("_s", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), (F.count("*").over(_w("a")) / 1000).cast("int"))))
-    heads = salted.select("a", "_s").distinct().join(own, F.col("a") == F.col("_id")).select("a", "_s", F.lit(None).cast(kind).alias("b"), "_set")
-    members = salted.join(own, F.col("b") == F.col("_id")).select("a", "_s", "b", "_set")
-    stream = heads.unionByName(members).repartition("a", "_s").sortWithinPartitions("a", "_s", F.col("b").asc_nulls_first())
+    own = docs.select("_id", "_text", *hashes).mapInArrow(sets, sets_schema)
+    stream = ends.join(own, "_id").select("a", "_s", "b", "_set").repartition("a", "_s").sortWithinPartitions("a", "_s", F.col("b").asc_nulls_first())
     schema = StructType().add("a", kind).add("b", kind).add("same", BooleanType())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
