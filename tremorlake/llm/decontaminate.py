@@ -74,18 +74,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
         parts[-1][p] = k
         room += len(p)
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
-    out = spark.createDataFrame([], schema)
+    send = spark.sparkContext.broadcast
+    if len(parts) == 1:
+        if not parts[0]:
+            return spark.createDataFrame([], schema).withColumnsRenamed({"_id": id_col, "_item": item_col})
+        return slim.mapInArrow(_scan(send(list(parts[0].items())), schema.add("_w", LongType())), schema).drop("_w").withColumnsRenamed({"_id": id_col, "_item": item_col})
+    # a passage may be in several automata: hits of a row that meet are one
+    from pyspark.sql import Window
+
+    from .shared import written
+
+    slim = written(slim.withColumn("_row", F.monotonically_increasing_id()))
+    by_row = StructType().add("_row", LongType()).add("_item", ikind).add("start", LongType()).add("end", LongType()).add("matched", LongType()).add("_w", LongType())
+    out = None
     for part in parts:
-        if part:
-            out = out.unionByName(slim.mapInArrow(_scan(spark.sparkContext.broadcast(list(part.items())), schema), schema)) if len(parts) > 1 else slim.mapInArrow(_scan(spark.sparkContext.broadcast(list(part.items())), schema), schema)
-    if len(parts) > 1:  # a passage may be in several automata
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("_id", "_item").orderBy("start", "end")
-        before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        out = out.withColumn("_g", F.sum(F.when(F.col("start") <= before, 0).otherwise(1)).over(w))
-        out = out.groupBy("_id", "_item", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("matched").alias("matched")).drop("_g")
-    return out.withColumnsRenamed({"_id": id_col, "_item": item_col})
+        hits = slim.select("_row", "_text").mapInArrow(_scan(send(list(part.items())), by_row), by_row)
+        out = hits if out is None else out.unionByName(hits)
+    w = Window.partitionBy("_row", "_item").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("_g", F.sum(F.when(F.col("start") <= before, 0).otherwise(1)).over(w))
+    out = out.groupBy("_row", "_item", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("_w") + F.col("matched")) - F.min("_w")).alias("matched"))
+    return out.join(slim.select("_row", "_id"), "_row").select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "start", "end", "matched")
 
 
 _automata: dict[int, object] = {}
@@ -125,13 +134,13 @@ def _scan(items, schema):
                     open_[row, k] = [first, last]
             rows += [(r, k, *x) for (r, k), x in open_.items()]
             if rows:
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[] for _ in arrow]
                 for r, k, i, j in sorted(rows, key=lambda x: (x[0], x[2])):
                     doc = data[offs[r] : offs[r + 1]].tobytes()
                     s, e = int(src[i + 1] - offs[r]), int(src[j - 1] - offs[r]) + 1
                     cs = len(doc[:s].decode("utf-8", "replace"))
                     ce = cs + len(doc[s:e].decode("utf-8", "replace"))
-                    for c, v in zip(cols, (ids[r].as_py(), k, cs, ce, text.count(" ", i, j))):
+                    for c, v in zip(cols, (ids[r].as_py(), k, cs, ce, text.count(" ", i, j), text.count(" ", int(new[r]), i))):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
