@@ -68,7 +68,7 @@ FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_nearest_neighbours, op3_near_duplicates, op4_decontamination, op5_quality_classifier, op6_chat_format, op7_license_scan, op8_lm_scoring, op9_line_dedup, op10_best_fit_packing)}
-CHAT_SQL = """
+CHAT_SQL = r"""
 WITH m AS (SELECT conv_id, turn, role, text, regexp_matches(role || chr(10) || text, '<\|im_(start|end)\|>') OR regexp_matches(role || chr(10) || text, '<\\+\|') OR text = '<|null|>' OR role = '<|null|>' OR contains(role, chr(10)) OR contains(role, '<|nl|>') AS bad FROM conversations),
 r AS (SELECT conv_id, turn, role, text, bad, CASE WHEN bad THEN replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), chr(10), '<|nl|>') ELSE role END AS er, CASE WHEN bad THEN regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') ELSE text END AS et FROM m)
 SELECT conv_id, count(*) AS n_turns, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS n_escaped, string_agg('<|im_start|>' || er || chr(10) || et || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered

@@ -23,7 +23,7 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts lineage and outlives executors."""
     path = folder(df.sparkSession)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
 def drop(spark: SparkSession, path: str) -> None:
