@@ -37,7 +37,7 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]) if len(key) else np.zeros(1, np.int64)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int = 0, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], column: int = 0, rows: int = 30_000) -> Iterator[pa.RecordBatch]:
     """Batches of rows sorted by an integer column, cut only between its values."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -69,7 +69,7 @@ def vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array([r.tobytes() for r in y], pa.binary())], ["id", "v"])
 
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & (F.size("x") == dim) & ~F.exists("x", lambda y: y.isNull()))
-    return slim.dropDuplicates(["id"]).mapInArrow(run, "id long, v binary")
+    return slim.groupBy("id").agg(F.min("x").alias("x")).mapInArrow(run, "id long, v binary")
 
 
 def _best(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -89,27 +89,29 @@ def _best(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int, *more: np.ndarray
 
 
 class _Pool:
-    """Candidates (u, v, s) of a task, cut to the best k of each u now and then."""
+    """Candidates (u, v, s) of a task, cut to the best k of each u now and then; full when even so they are many."""
 
-    def __init__(self, k: int, most: int = 1 << 21):
+    def __init__(self, k: int, most: int = 1 << 18):
         self.k, self.most, self.parts, self.size = k, most, [], 0
 
-    def add(self, u: np.ndarray, v: np.ndarray, s: np.ndarray) -> None:
+    def add(self, u: np.ndarray, v: np.ndarray, s: np.ndarray) -> bool:
+        """Whether rows() should be taken now."""
         if len(u):
-            self.parts.append((u, v, s))
+            self.parts.append((u, v, s.astype(np.float32)))
             self.size += len(u)
             if self.size > self.most:
                 self.cut()
+        return self.size > self.most // 2 and len(self.parts) == 1
 
     def cut(self) -> None:
         if self.parts:
             best = _best(*(np.concatenate(x) for x in zip(*self.parts)), self.k)
             self.parts, self.size = [best], len(best[0])
-            self.most = max(self.most, 2 * self.size)
 
     def rows(self) -> pa.RecordBatch:
         self.cut()
         u, v, s = self.parts[0] if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        self.parts, self.size = [], 0
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s.astype(np.float32))], ["u", "v", "s"])
 
 
@@ -140,7 +142,8 @@ def first_graph(vec: DataFrame, n: int, k: int, dim: int, tables: int = 6, leaf:
                     np.fill_diagonal(s, -9)
                     m = min(k, e - a - 1)
                     top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                    pool.add(np.repeat(ids[a:e], m), ids[a:e][top].reshape(-1), np.take_along_axis(s, top, 1).reshape(-1))
+                    if pool.add(np.repeat(ids[a:e], m), ids[a:e][top].reshape(-1), np.take_along_axis(s, top, 1).reshape(-1)):
+                        yield pool.rows()
         yield pool.rows()
 
     placed = vec.mapInArrow(spread, "w long, id long, v binary").repartition("w").sortWithinPartitions("w", F.xxhash64("w", "id"))
@@ -185,7 +188,7 @@ def _drawn(u: np.ndarray, v: np.ndarray, f: np.ndarray, step: int, most: int) ->
     return out
 
 
-def descend(vec: DataFrame, k: int = 48, sample: int = 20, steps: int = 10, delta: float = 0.004, dim: int | None = None, told: Callable[[str], None] = lambda _: None) -> DataFrame:
+def descend(vec: DataFrame, k: int = 48, sample: int = 20, steps: int = 10, delta: float = 0.01, dim: int | None = None, told: Callable[[str], None] = lambda _: None) -> DataFrame:
     """(u, ids, sims, fresh): the graph of each vector's k nearest found, by falling similarity.
 
     In every step each vertex draws up to `sample` fresh and as many other
@@ -229,7 +232,8 @@ def descend(vec: DataFrame, k: int = 48, sample: int = 20, steps: int = 10, delt
                     ok = (s > low[i:j, None]) & (f[i:j, None] | f[None, i:j])
                     np.fill_diagonal(ok, False)
                     r, c = np.nonzero(ok)
-                    pool.add(a[i:j][r], a[i:j][c], s[r, c])
+                    if pool.add(a[i:j][r], a[i:j][c], s[r, c]):
+                        yield pool.rows()
             yield pool.rows()
 
         def old(batches: Iterator[pa.RecordBatch], step=step) -> Iterator[pa.RecordBatch]:
@@ -252,7 +256,7 @@ def descend(vec: DataFrame, k: int = 48, sample: int = 20, steps: int = 10, delt
     return graph
 
 
-def search(vec: DataFrame, graph: DataFrame, beams: DataFrame, dim: int, ef: int = 48, expand: int = 6, steps: int = 4) -> DataFrame:
+def search(vec: DataFrame, graph: DataFrame, beams: DataFrame, dim: int, ef: int = 64, expand: int = 6, steps: int = 4) -> DataFrame:
     """(q, ids, sims): greedy search of the graph for every row (q, v, ids, sims) of beams, which holds entry points.
 
     In each step the best `expand` vertices of a beam that haven't been visited
@@ -265,6 +269,8 @@ def search(vec: DataFrame, graph: DataFrame, beams: DataFrame, dim: int, ef: int
         for b in _groups(batches, rows=20_000):
             u, x = b.column(0).to_numpy(), _block(b.column(2), dim).astype(np.float16)
             at = _runs(u)
+            # parts of 16 neighbours, so that a batch of rows stays small
+            at = np.unique(np.concatenate([at, *(np.arange(i, j, 16) for i, j in zip(at[:-1], at[1:]))])).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(u[at[:-1]]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), b.column(1)), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["u", "near", "block"])
 
     near = written(edge.mapInArrow(rows, "u long, near array<long>, block binary"))
@@ -289,15 +295,18 @@ def search(vec: DataFrame, graph: DataFrame, beams: DataFrame, dim: int, ef: int
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pool = _Pool(ef)
-            for b in batches:
-                q, low, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _block(b.column(2), dim)
-                ids, off = b.column(3).flatten().to_numpy(), b.column(3).offsets.to_numpy() - b.column(3).offsets[0].as_py()
-                for i in range(b.num_rows):
-                    m = np.frombuffer(b.column(4)[i].as_buffer(), np.float16).reshape(-1, dim).astype(np.float32)
-                    s = m @ x[i]
-                    own = ids[off[i] : off[i + 1]]
-                    ok = (s > low[i]) & (own != q[i])
-                    pool.add(np.full(int(ok.sum()), q[i]), own[ok], s[ok])
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2000):
+                    b = batch.slice(at, 2000)
+                    q, low, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _block(b.column(2), dim)
+                    ids = b.column(3).flatten().to_numpy()
+                    own = np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
+                    offs = np.frombuffer(b.column(4).buffers()[1], np.int32)[b.column(4).offset : b.column(4).offset + b.num_rows + 1]
+                    m = np.frombuffer(b.column(4).buffers()[2], np.float16)[offs[0] // 2 : offs[-1] // 2].reshape(-1, dim).astype(np.float32)
+                    s = np.einsum("ij,ij->i", m, x[own])
+                    ok = (s > low[own]) & (ids != q[own])
+                    if pool.add(q[own][ok], ids[ok], s[ok]):
+                        yield pool.rows()
             yield pool.rows()
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,13 +329,13 @@ def search(vec: DataFrame, graph: DataFrame, beams: DataFrame, dim: int, ef: int
     return beam.select("q", "ids", "sims")
 
 
-def nearest(df: DataFrame, k: int = 10, degree: int = 48, id_col: str = "vec_id", vec_col: str = "embedding", told: Callable[[str], None] = lambda _: None) -> DataFrame:
+def nearest(df: DataFrame, k: int = 10, degree: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", told: Callable[[str], None] = lambda _: None) -> DataFrame:
     """(id, rank, neighbour, similarity): for every row as a query its k nearest others by cosine, rank from 1.
 
     Similarity falls with rank, ties go by the lower id, and is rounded to six
     places. Null ids and vectors that are null, of another length than most,
-    zero, or with null or infinite values are left out; of rows with one id one
-    counts. Equal vectors are neighbours of similarity 1. Fewer than k others
+    zero, or with null or infinite values are left out; of rows with one id
+    that of the least vector counts. Equal vectors are neighbours of similarity 1. Fewer than k others
     give fewer rows, an empty table none. Other columns are ignored.
     """
     sized = df.where(F.col(vec_col).isNotNull()).groupBy(F.size(vec_col).alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -338,10 +347,10 @@ def nearest(df: DataFrame, k: int = 10, degree: int = 48, id_col: str = "vec_id"
     vec = written(vectors(df, id_col, vec_col, dim))
     graph = descend(vec, max(degree, 2 * k), dim=dim, told=told)
     beams = graph.join(vec, F.col("u") == F.col("id")).select(F.col("u").alias("q"), "v", "ids", "sims")
-    found = search(vec, graph, beams, dim)
+    found = search(vec, graph, beams, dim, max(degree, 2 * k))
     pair = found.select("q", F.explode(F.slice("ids", 1, k + 2)).alias("n"))
-    exact = df.select(F.col(id_col).cast("long").alias("_i"), F.col(vec_col).cast("array<double>").alias("_x")).where(F.size("_x") == dim).dropDuplicates(["_i"])
-    unit = written(exact.withColumn("_n", F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x))).select("_i", F.transform("_x", lambda x: x / F.col("_n")).alias("_x")))
+    exact = df.select(F.col(id_col).cast("long").alias("_i"), F.col(vec_col).cast("array<double>").alias("_x")).where(F.size("_x") == dim).join(vec.select(F.col("id").alias("_i")), "_i", "left_semi").groupBy("_i").agg(F.min("_x").alias("_x"))
+    unit = written(exact.withColumn("_n", F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x))).select("_i", F.transform("_x", lambda x: F.try_divide(x, F.col("_n"))).alias("_x")))
     a, b = unit.toDF("q", "x"), unit.toDF("n", "y")
     dot = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     sim = pair.join(a, "q").join(b, "n").select("q", "n", (F.round(dot, 6) + 0.0).alias("similarity"))
