@@ -181,10 +181,10 @@ def negative_filter(spark: SparkSession, d: str) -> DataFrame:
     return R.negative_filter(pool(spark, d).withColumn("score", F.col("raw")), needles).select("cr", "node_id", F.round("score", 6).alias("score"))
 
 
-@query(f"{POOL}, kinds AS (SELECT * FROM {fx._COMPAT}) SELECT p.cr, node_id, round(raw * CASE WHEN collection = 'doc' THEN CASE WHEN p.chunk_type = prim THEN CAST(1 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END ELSE coalesce(compat, CAST(0.5 AS DOUBLE)) END, 4) AS score FROM pool p JOIN req USING (cr) LEFT JOIN kinds k ON k.file_class = coalesce(p.file_class, 'None') AND k.chunk_type = prim")
+@query(f"{POOL}, kinds AS (SELECT * FROM {fx._COMPAT}) SELECT p.cr, node_id, round(raw * CASE WHEN collection = 'doc' THEN CASE WHEN p.chunk_type = prim THEN CAST(1 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END ELSE coalesce(compat, CAST(0.5 AS DOUBLE)) END, 9) AS score FROM pool p JOIN req USING (cr) LEFT JOIN kinds k ON k.file_class = coalesce(p.file_class, 'None') AND k.chunk_type = prim")
 def affinity_rescore(spark: SparkSession, d: str) -> DataFrame:
     p = pool(spark, d).withColumn("score", F.col("raw")).join(F.broadcast(fx.requests(spark, d).select("cr", "primary")), "cr")
-    return R.affinity(p, dims.layer_compat(spark)).select("cr", "node_id", F.round("score", 4).alias("score"))
+    return R.affinity(p, dims.layer_compat(spark)).select("cr", "node_id", F.round("score", 9).alias("score"))
 
 
 @query(f"{POOL} SELECT cr, node_id FROM (SELECT *, sum(CASE WHEN collection = 'code' THEN 1 ELSE 0 END) OVER (PARTITION BY cr, file_path) AS f, sum(CASE WHEN collection = 'code' THEN 1 ELSE 0 END) OVER (PARTITION BY cr) AS a FROM pool) WHERE collection = 'doc' OR CAST(f AS DOUBLE) / a <= CAST(0.02 AS DOUBLE)")
