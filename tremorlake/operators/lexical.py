@@ -25,15 +25,17 @@ def idf(postings: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFr
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, qid_col: str, qtext_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, qid_col: str, qtext_col: str, k1: float = 1.5, b: float = 0.75, written=lambda df: df) -> DataFrame:
     """(qid, id, score): Okapi scores of the documents that share a term with the query; a repeated query term counts again.
 
     Statistics are of the whole collection. The query's terms reduce the
-    postings before they are shuffled by term.
+    postings before they are shuffled by term. written may keep the postings,
+    from which lengths and frequencies come too, so that texts are read once.
     """
-    postings = terms(docs, id_col, text_col)
-    size = lengths(docs, id_col, text_col)
-    stats = size.agg(F.count("*").alias("n"), (F.sum("dl").cast("double") / F.count("*")).alias("avgdl"))
+    postings = written(terms(docs, id_col, text_col))
+    size = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
+    n = docs.agg(F.count("*").alias("n"))
+    stats = postings.agg(F.sum("tf").cast("double").alias("all")).crossJoin(n).select("n", F.try_divide("all", "n").alias("avgdl"))
     weight = idf(postings, stats.select("n"))
     asked = queries.select(F.col(qid_col).alias("qid"), F.explode(tokenise(F.col(qtext_col))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     hits = asked.join(weight, "term").join(postings, "term").join(size, "id").crossJoin(F.broadcast(stats.select("avgdl")))

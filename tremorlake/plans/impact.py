@@ -9,6 +9,7 @@ from ..functions.text import scope, token_estimate
 from ..operators import audit as A, graph as G, reports as P, rescoring as R, verdicts as V
 from . import fixtures as fx
 from .registry import query
+from .store import written
 
 GRAPH = f"WITH {fx.SQL_NODES}, {fx.SQL_EDGES}, {fx.SQL_CONFIG}"
 DEG = "deg AS (SELECT node_id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(1 - i) AS BIGINT) AS out_degree, count(*) AS degree FROM (SELECT source_id AS node_id, 0 AS i FROM edges UNION ALL SELECT target_id, 1 FROM edges) GROUP BY node_id)"
@@ -42,17 +43,6 @@ def seeds(spark: SparkSession, d: str) -> DataFrame:
     return s.union(fx.table(spark, d, "customer").select(F.concat(F.lit("c::"), F.col("c_custkey").cast("string")), F.col("c_custkey") + 1000000, F.col("c_acctbal") < 0))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a level in the folder that the cluster shares; local sessions without one keep it in a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="tremorlake-"))
-    return df.checkpoint()
-
-
 def impact_set(spark: SparkSession, d: str, hub: int) -> DataFrame:
     return G.propagate(fx.nodes(spark, d), fx.edges(spark, d), seeds(spark, d), dims.edge_config(spark), hub, written=written)
 

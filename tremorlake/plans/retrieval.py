@@ -8,17 +8,18 @@ from ..functions import dims, text as X
 from ..operators import lexical, rescoring as R, vectors as V
 from . import fixtures as fx
 from .registry import query
+from .store import written
 
 _RRF = dims.values([(c, p, w) for c, row in dims.RRF.items() for p, w in zip(dims.RRF_PATHS, row)], "rrfw", "change_type, path, weight")
 
 
 def doc_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = lexical.bm25(fx.docs(spark, d), fx.requests(spark, d), "id", "text", "cr", "text")
+    s = lexical.bm25(fx.docs(spark, d), fx.requests(spark, d), "id", "text", "cr", "text", written=written)
     return s.select(F.col("qid").alias("cr"), "id", F.round("score", 6).alias("score"))
 
 
 def code_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = lexical.bm25(fx.codes(spark, d), fx.requests(spark, d), "id", "text", "cr", "text")
+    s = lexical.bm25(fx.codes(spark, d), fx.requests(spark, d), "id", "text", "cr", "text", written=written)
     return s.select(F.col("qid").alias("cr"), "id", F.round("score", 6).alias("score"))
 
 
