@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, katz, licences, line_dedup, minhash, neighbours, packing, quality, token_counts
+from . import chat, decontaminate, licences, line_dedup, minhash, neighbours, packing, quality, token_counts, word_katz
 
 TOKENIZER = os.environ.get("TREMORLAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -47,7 +47,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz(table(spark, sf_dir, "documents"))
+    return word_katz.word_katz(table(spark, sf_dir, "documents"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
