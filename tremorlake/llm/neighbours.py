@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: NN-descent by iterative joins of neighbours of neighbours, then greedy graph search.
 
-Vectors travel normalised, as 16-bit floats; the similarities of a result are
-computed from the vectors as given.
+Vectors travel normalised, as 32-bit floats, which order near-copies too; the
+similarities of a result are computed from the vectors as given.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ def _release(df: DataFrame) -> None:
 
 
 def _block(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of a binary column whose values all have `width` 16-bit floats."""
+    """Rows of a binary column whose values all have `width` 32-bit floats."""
     if not len(column):
         return np.zeros((0, width), np.float32)
     offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.float16)[offs[0] // 2 : offs[-1] // 2].reshape(len(column), -1).astype(np.float32)
+    return np.frombuffer(column.buffers()[2], np.float32, offs[-1] // 4)[offs[0] // 4 :].reshape(len(column), -1)
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -65,7 +65,7 @@ def vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
             x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
             norm = np.linalg.norm(x, axis=1)
             ok = np.isfinite(norm) & (norm > 0)
-            y = (x[ok] / norm[ok, None]).astype(np.float16)
+            y = (x[ok] / norm[ok, None]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array([r.tobytes() for r in y], pa.binary())], ["id", "v"])
 
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & (F.size("x") == dim) & ~F.exists("x", lambda y: y.isNull()))
@@ -267,7 +267,7 @@ def search(vec: DataFrame, graph: DataFrame, beams: DataFrame, dim: int, ef: int
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _groups(batches, rows=20_000):
-            u, x = b.column(0).to_numpy(), _block(b.column(2), dim).astype(np.float16)
+            u, x = b.column(0).to_numpy(), _block(b.column(2), dim)
             at = _runs(u)
             # parts of 16 neighbours, so that a batch of rows stays small
             at = np.unique(np.concatenate([at, *(np.arange(i, j, 16) for i, j in zip(at[:-1], at[1:]))])).astype(np.int64)
@@ -302,7 +302,7 @@ def search(vec: DataFrame, graph: DataFrame, beams: DataFrame, dim: int, ef: int
                     ids = b.column(3).flatten().to_numpy()
                     own = np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
                     offs = np.frombuffer(b.column(4).buffers()[1], np.int32)[b.column(4).offset : b.column(4).offset + b.num_rows + 1]
-                    m = np.frombuffer(b.column(4).buffers()[2], np.float16)[offs[0] // 2 : offs[-1] // 2].reshape(-1, dim).astype(np.float32)
+                    m = np.frombuffer(b.column(4).buffers()[2], np.float32, offs[-1] // 4)[offs[0] // 4 :].reshape(-1, dim)
                     s = np.einsum("ij,ij->i", m, x[own])
                     ok = (s > low[own]) & (ids != q[own])
                     if pool.add(q[own][ok], ids[ok], s[ok]):
@@ -348,7 +348,10 @@ def nearest(df: DataFrame, k: int = 10, degree: int = 64, id_col: str = "vec_id"
     graph = descend(vec, max(degree, 2 * k), dim=dim, told=told)
     beams = graph.join(vec, F.col("u") == F.col("id")).select(F.col("u").alias("q"), "v", "ids", "sims")
     found = search(vec, graph, beams, dim, max(degree, 2 * k))
-    pair = found.select("q", F.explode(F.slice("ids", 1, k + 2)).alias("n"))
+    # the beam's similarities are off by what 32-bit floats round at most; whatever else of the beam may be among the k after rounding is compared too
+    off = F.lit(1e-6 + 2.4e-7 * dim)
+    kth = F.get("sims", F.least(F.lit(k), F.size("sims")) - 1)
+    pair = found.withColumn("_low", kth - off).select("q", F.explode(F.slice("ids", F.lit(1), F.size(F.filter("sims", lambda s: s >= F.col("_low"))))).alias("n"))
     exact = df.select(F.col(id_col).cast("long").alias("_i"), F.col(vec_col).cast("array<double>").alias("_x")).where(F.size("_x") == dim).join(vec.select(F.col("id").alias("_i")), "_i", "left_semi").groupBy("_i").agg(F.min("_x").alias("_x"))
     unit = written(exact.withColumn("_n", F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x))).select("_i", F.transform("_x", lambda x: F.try_divide(x, F.col("_n"))).alias("_x")))
     a, b = unit.toDF("q", "x"), unit.toDF("n", "y")
