@@ -284,7 +284,7 @@ def test_neighbours_nasty(spark):
 def test_pipeline_stages_take_effect(spark, small):
     import corpus_pipeline as cp
 
-    from tremorlake.llm import decontaminate, line_dedup
+    from tremorlake.llm import queries, token_counts
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
@@ -328,8 +328,9 @@ def test_pipeline_stages_take_effect(spark, small):
             dirty.add(i)
     assert ids(after) == ids(before) - dirty
     before, after = seen["packing"]
-    size = {r[0]: r[1] for r in before.selectExpr("doc_id", "octet_length(text)").collect() if r[1]}
+    encode = token_counts.encoder(queries.TOKENIZER)
+    size = {i: n for i, t in text(before).items() if (n := encode([t or ""])[0])}
     got = after.toPandas()
-    assert got.groupby("doc_id").n_units.sum().to_dict() == size and got.groupby(["shard", "bin"]).n_units.sum().max() <= 16384
+    assert got.groupby("doc_id").n_units.sum().to_dict() == size and got.groupby(["shard", "bin"]).n_units.sum().max() <= 4096
     run = cp.run(spark, small).toPandas()
     assert sorted(map(tuple, run.values.tolist())) == sorted(map(tuple, got.values.tolist()))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructType
 
 
 class _Sizes:
@@ -89,39 +88,45 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pack(docs: DataFrame, capacity: int = 16384, id_col: str = "doc_id", text_col: str = "text", size: str | None = None, shard_docs: int = 50_000) -> DataFrame:
     """(shard, bin, slot, id, start, n_units): a packing of all documents into bins of `capacity` units.
 
-    size is a SQL expression for a document's length; by default it has
-    octet_length(text) units, one for each byte. Longer documents fill bins of
-    their own and only the rest is packed with others, so start is where the
-    piece begins in its document. Only ids and sizes are shuffled. Shards of
-    about shard_docs documents, by hash of the id, are packed each for itself;
-    the loss is less than a bin a shard. Documents of null or no length are not
-    packed. Repeated rows are packed each for itself; ties go by id. Other
-    columns are ignored.
+    size is a SQL expression for a document's length, such as a column of token
+    counts; by default it has octet_length(text) units, one for each byte.
+    Longer documents fill bins of their own and only the rest is packed with
+    others, so start is where the piece begins in its document. Only ids and
+    sizes are shuffled, as Arrow columns, so ids of any type come back as they
+    were. Shards of about shard_docs documents, by hash of the id and size, are
+    packed each for itself; the loss is less than a bin a shard. Documents of
+    null or no length are not packed. Null ids are packed like others, after
+    them among equal sizes. Repeated rows are packed each for itself; ties go by
+    id. Other columns are ignored.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("_id"), (F.expr(size) if size else F.octet_length(F.col(text_col))).cast("bigint").alias("_n")).where("_n > 0")
     from .shared import written
 
     slim = written(slim)
     shards = max(1, -(-slim.count() // shard_docs))
-    kind = slim.schema["_id"].dataType
+    names = ["shard", "bin", "slot", "_id", "start", "n_units"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_n", "_id"], ascending=[False, True], kind="stable")
-        n = pdf["_n"].to_numpy(np.int64)
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("_n", "descending"), ("_id", "ascending")]))
+        n = t["_n"].to_numpy().astype(np.int64)
         full, rest = n // capacity, n % capacity
         base = np.concatenate([[0], np.cumsum(full)])
         whole = np.repeat(np.arange(len(n)), full)
         k = np.arange(len(whole)) - base[whole]
         some = np.flatnonzero(rest)
-        bins = best_two_fit(rest[some], capacity) + base[-1]
-        out = pd.DataFrame({"shard": pdf["_s"].iloc[0], "bin": np.concatenate([np.arange(len(whole)), bins]), "_id": pdf["_id"].to_numpy()[np.concatenate([whole, some])], "start": np.concatenate([k * capacity, (full * capacity)[some]]), "n_units": np.concatenate([np.full(len(whole), capacity), rest[some]])})
-        out = out.sort_values(["bin", "n_units", "_id", "start"], ascending=[True, False, True, True], kind="stable")
-        out["slot"] = out.groupby("bin").cumcount()
-        return out[["shard", "bin", "slot", "_id", "start", "n_units"]]
-
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType().add("shard", LongType()).add("bin", LongType()).add("slot", LongType()).add("_id", kind).add("start", LongType()).add("n_units", LongType())
-    keyed = slim.withColumn("_s", F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(shards)))
-    return keyed.groupBy("_s").applyInPandas(run, schema).withColumnRenamed("_id", id_col)
+        bins = np.concatenate([np.arange(len(whole)), best_two_fit(rest[some], capacity) + base[-1]])
+        own = np.concatenate([whole, some])  # positions go by falling size, then id
+        start = np.concatenate([k * capacity, (full * capacity)[some]])
+        units = np.concatenate([np.full(len(whole), capacity), rest[some]])
+        o = np.lexsort((start, own, -units, bins))
+        bins, own, start, units = bins[o], own[o], start[o], units[o]
+        first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+        slot = np.arange(len(bins)) - np.repeat(first, np.diff(np.append(first, len(bins))))
+        return pa.table([pa.array(np.full(len(bins), t["_s"][0].as_py())), pa.array(bins), pa.array(slot), t["_id"].take(pa.array(own)), pa.array(start), pa.array(units)], names)
+
+    schema = StructType()
+    for c in names:
+        schema = schema.add(c, slim.schema["_id"].dataType if c == "_id" else LongType())
+    # the size is in the hash so that rows of one id, however many, are spread
+    keyed = slim.withColumn("_s", F.pmod(F.xxhash64(F.coalesce(F.col("_id").cast("string"), F.lit("")), "_n"), F.lit(shards)))
+    return keyed.groupBy("_s").applyInArrow(run, schema).withColumnRenamed("_id", id_col)

@@ -42,8 +42,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return licences.license_scan(docs, F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    """Documents as files source/lang/doc_id.txt; a short text that speaks of a licence is the licence file of its directory."""
+    short = (F.length("text") <= 400) & F.col("text").rlike("(?i)licen[cs]e")
+    name = F.when(short, F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    return licences.license_scan(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", name))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +56,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents by their token counts in bins of 4096 tokens."""
+    return packing.pack(token_counts.token_counts(docs, TOKENIZER), 4096, size="n_tokens")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"))
 
 
 LINE_DEDUP_SQL = """
