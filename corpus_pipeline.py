@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tremorlake.llm import decontaminate, line_dedup, minhash, packing, quality
+from tremorlake.llm import decontaminate, line_dedup, minhash, quality, queries
 from tremorlake.llm.shared import written
 
 
@@ -21,15 +21,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the least id stays."""
     return minhash.near_dedup(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a test item go."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Documents in bins of tokens, as op10_best_fit_packing has them."""
+    return queries.packed(docs)
 
 
 STAGES = [("quality", good), ("line_dedup", lines), ("near_dedup", near), ("decontamination", leaks), ("packing", pack)]
