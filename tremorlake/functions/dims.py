@@ -31,6 +31,11 @@ EXEMPT = ("DEFINES_METHOD", "IMPLEMENTS")
 FAN_IN = {"File": 200, "InterfaceField": 200, "Variable": 80, "ExternalPackage": 0} | dict.fromkeys(("Interface", "TypeAlias", "Enum"), 100) | dict.fromkeys(("Class", "Function", "Method"), 50)
 NEVER = "ExternalPackage"
 STOP = sorted("the and for are but not you all can has had was via any out our off per yet too use dan ini itu atau yang nya kan lah pun bagi agar akan ada ialah".split() + "of to in on at by is be as an or if it we us do no so up di ke ya".split())
+INDONESIAN = (" yang ", " untuk ", " dan ", " dengan ", "tambahkan", "menambahkan")
+#: largest lengths of texts in prompts and reports
+CUT = {"abstraction": 1200, "sibling": 800, "snippet": 500, "entity": 400, "reason": 300, "file": 600}
+#: layers of a request's queries, by the class of the files that they are for
+LAYERS = {"api_route": "API_ROUTE", "page_component": "PAGE_COMPONENT", "ui_component": "UI_COMPONENT", "utility": "UTILITY", "type_definition": "TYPE_DEFINITION"}
 RANK = {HIGH: 0, MEDIUM: 1, LOW: 2}
 
 

@@ -68,6 +68,31 @@ def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def short_hash(c: Column) -> Column:
+    """The first 16 hexadecimal digits, as logs have it."""
+    return F.substring(F.sha2(c, 256), 1, 16)
+
+
+def config_hash(settings: Column) -> Column:
+    """Of a map or struct: the same whatever the order of a map's keys."""
+    return short_hash(F.to_json(settings))
+
+
+def instant(c: Column) -> Column:
+    """ISO text, also with a trailing Z or without a zone (UTC), as a timestamp; null where it isn't one."""
+    return F.try_to_timestamp(F.regexp_replace(F.regexp_replace(c, "[Zz]$", "+00:00"), r"^([^+]*T[^+-]*)$", "$1+00:00"))
+
+
+def shortened(c: Column, kind: str) -> Column:
+    """Text cut to what a prompt or report has room for; see dims.CUT."""
+    return F.substring(c, 1, dims.CUT[kind])
+
+
+def is_indonesian(c: Column) -> Column:
+    """Whether a request reads as Indonesian, by a few frequent words."""
+    return contains_any(c, dims.INDONESIAN)
+
+
 def chunk_type(title: Column) -> Column:
     has = lambda *w: contains_any(title, w)
     return F.when(has("non-functional", "non-fungsional", "kebutuhan non"), "NFR").when(has("functional requirement", "kebutuhan fungsional", "use case"), "FR").when(has("design", "architecture", "perancangan", "desain", "arsitektur"), "Design").otherwise("General")
@@ -125,9 +150,10 @@ def layers_to_chunk_types(layers: Column) -> Column:
 
 
 def coherent_layers(change_type: Column, layers: Column) -> Column:
-    """Additions and changes touch the code layer too; a request without layers touches all."""
-    every = F.array(*[F.lit(x) for x in ("requirement", "design", "code")])
-    return F.when(F.size(layers) == 0, every).when(change_type.isin("ADDITION", "MODIFICATION", "DELETION"), F.array_union(layers, F.array(F.lit("code")))).otherwise(layers)
+    """A deletion touches the code layer too; an addition to code alone touches its requirement."""
+    one = lambda x: F.array(F.lit(x))
+    alone = (F.size(layers) == 1) & F.array_contains(layers, "code")
+    return F.when(change_type == "DELETION", F.array_union(layers, one("code"))).when((change_type == "ADDITION") & alone, F.array_union(layers, one("requirement"))).otherwise(layers)
 
 
 def saturate(score: Column) -> Column:

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import saturate, tokenise
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf)"""
-    return docs.select(F.col(id_col).alias("id"), F.explode(tokenise(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf, dl) of documents, one a row, each counted where it is read: no token is shuffled."""
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, term string, tf bigint, dl bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):  # few documents at a time, whatever their length
+                part = b.slice(at, 512)
+                lists = part.column(1)
+                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                t = pa.table({"row": pa.array(np.repeat(np.arange(len(n)), n)), "term": lists.flatten()}).group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+                row = t["row"].to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), t["term"].combine_chunks(), t["count_all"].combine_chunks(), pa.array(n[row].astype(np.int64))], ["id", "term", "tf", "dl"])
+
+    return docs.select(F.col(id_col).alias("id"), tokenise(F.col(text_col)).alias("ts")).mapInArrow(run, schema)
 
 
 def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -25,21 +43,33 @@ def idf(postings: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFr
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, qid_col: str, qtext_col: str, k1: float = 1.5, b: float = 0.75, written=lambda df: df) -> DataFrame:
-    """(qid, id, score): Okapi scores of the documents that share a term with the query; a repeated query term counts again.
+@dataclass(frozen=True)
+class Lexicon:
+    """What BM25 needs of a collection: postings (id, term, tf, dl), weights (term, idf), and its average length."""
 
-    Statistics are of the whole collection. The query's terms reduce the
-    postings before they are shuffled by term. written may keep the postings,
-    from which lengths and frequencies come too, so that texts are read once.
-    """
+    postings: DataFrame
+    weights: DataFrame
+    avgdl: float
+
+
+def lexicon(docs: DataFrame, id_col: str, text_col: str, written=lambda df: df) -> Lexicon:
+    """The index of a collection; written keeps its tables, so that texts are read once, whatever is asked."""
     postings = written(terms(docs, id_col, text_col))
-    size = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
     n = docs.agg(F.count("*").alias("n"))
-    stats = postings.agg(F.sum("tf").cast("double").alias("all")).crossJoin(n).select("n", F.try_divide("all", "n").alias("avgdl"))
-    weight = idf(postings, stats.select("n"))
+    every = postings.agg(F.sum("tf").cast("double").alias("all")).crossJoin(n).first()
+    return Lexicon(postings, written(idf(postings, n).select("term", "idf")), every["all"] / every["n"] if every["all"] else 1.0)
+
+
+def bm25(index: Lexicon, queries: DataFrame, qid_col: str, qtext_col: str, k1: float = 1.5, b: float = 0.75, written=lambda df: df) -> DataFrame:
+    """(qid, id, score): Okapi scores of the documents that share a term with the query; a repeated query term counts again.
+
+    Statistics are of the whole collection. The queries' weighted terms are
+    written, so that their size is known when they are joined with the
+    postings: few of them are broadcast, many are shuffled.
+    """
     asked = queries.select(F.col(qid_col).alias("qid"), F.explode(tokenise(F.col(qtext_col))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    hits = asked.join(weight, "term").join(postings, "term").join(size, "id").crossJoin(F.broadcast(stats.select("avgdl")))
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
+    hits = written(asked.join(index.weights, "term")).join(index.postings, "term")
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(index.avgdl))
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * F.lit(k1 + 1)) / (F.col("tf") + norm)
     return hits.groupBy("qid", "id").agg(F.sum(part).alias("score"))
 

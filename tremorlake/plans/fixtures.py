@@ -49,10 +49,10 @@ def doc_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("doc_id"), "embedding", pick(F.col("label") % 4, list(dims.CHUNKS)).alias("chunk_type"))
 
 
-def similarity(spark: SparkSession, d: str) -> DataFrame:
-    """(code_id, doc_id, score): cosine times layer compatibility, of all pairs of different vectors"""
+def similarity(spark: SparkSession, d: str, floor: float = 0.0) -> DataFrame:
+    """(code_id, doc_id, score): cosine times layer compatibility (1 at most), of all pairs of different vectors whose cosine reaches floor"""
     c, x = code_vectors(spark, d), doc_vectors(spark, d)
-    s = vectors.pair_blocks(c, x, "code_id", "embedding", "doc_id", "embedding", 0.0, None)
+    s = vectors.pair_blocks(c, x, "code_id", "embedding", "doc_id", "embedding", floor, None)
     s = s.where(F.substring("l", 2, 20) != F.substring("r", 2, 20))
     kinds = F.broadcast(dims.layer_compat(spark))
     j = s.join(c.select(F.col("code_id").alias("l"), F.coalesce("file_class", F.lit("None")).alias("file_class")), "l").join(x.select(F.col("doc_id").alias("r"), "chunk_type"), "r").join(kinds, ["file_class", "chunk_type"])
@@ -63,7 +63,7 @@ FLOOR = 0.2
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.dual_top_k(similarity(spark, d).where(F.col("score") >= FLOOR - 1e-9), 5, FLOOR)
+    return vectors.dual_top_k(similarity(spark, d, FLOOR - 1e-6).where(F.col("score") >= FLOOR - 1e-9), 5, FLOOR)
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:

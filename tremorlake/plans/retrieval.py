@@ -14,12 +14,12 @@ _RRF = dims.values([(c, p, w) for c, row in dims.RRF.items() for p, w in zip(dim
 
 
 def doc_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = lexical.bm25(fx.docs(spark, d), fx.requests(spark, d), "id", "text", "cr", "text", written=written)
+    s = lexical.bm25(lexical.lexicon(fx.docs(spark, d), "id", "text", written), fx.requests(spark, d), "cr", "text", written=written)
     return s.select(F.col("qid").alias("cr"), "id", F.round("score", 6).alias("score"))
 
 
 def code_scores(spark: SparkSession, d: str) -> DataFrame:
-    s = lexical.bm25(fx.codes(spark, d), fx.requests(spark, d), "id", "text", "cr", "text", written=written)
+    s = lexical.bm25(lexical.lexicon(fx.codes(spark, d), "id", "text", written), fx.requests(spark, d), "cr", "text", written=written)
     return s.select(F.col("qid").alias("cr"), "id", F.round("score", 6).alias("score"))
 
 
@@ -30,7 +30,7 @@ _TOP = "row_number() OVER (PARTITION BY cr ORDER BY score DESC, id)"
 
 @query(f"WITH {fx.SQL_DOCS} SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({fx.sql_tokens('text')}) AS term FROM docs) GROUP BY id, term")
 def tok_terms(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.terms(fx.docs(spark, d), "id", "text")
+    return lexical.terms(fx.docs(spark, d), "id", "text").drop("dl")
 
 
 @query(f"{DOC} SELECT term, df, round(idf, 6) AS idf FROM bd_i")
@@ -46,8 +46,7 @@ def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{DOC} SELECT cr, id, score, rank FROM (SELECT cr, bd.id, score, row_number() OVER (PARTITION BY cr ORDER BY score DESC, bd.id) AS rank FROM bd JOIN docs USING (id) WHERE score > 0 AND chunk_type IN ('FR', 'Design')) WHERE rank <= 30")
 def bm25_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    s = doc_scores(spark, d).where("score > 0").join(fx.docs(spark, d).where(F.col("chunk_type").isin("FR", "Design")).select("id"), "id", "left_semi")
-    return lexical.top_k(s, 30, ["cr"]).select("cr", "id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return _doc_top(spark, d, doc_scores(spark, d))
 
 
 @query(f"{DOC} SELECT id, max(score) AS score FROM bd GROUP BY id")
@@ -57,7 +56,7 @@ def bm25_maxmerge(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{BOTH} SELECT cr, id, score, rank FROM (SELECT *, {_TOP} AS rank FROM bc WHERE score > 0) WHERE rank <= 30")
 def bm25_code_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.top_k(code_scores(spark, d).where("score > 0"), 30, ["cr"]).select("cr", "id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return _code_top(code_scores(spark, d))
 
 
 @query(f"""WITH {fx.SQL_UNIT} SELECT qid, id, score, rank FROM (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_inner_product(a.v, b.v), 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.v, b.v), 6) DESC, b.vec_id) AS rank FROM unit a JOIN unit b ON a.vec_id <> b.vec_id) WHERE rank <= 10""")
@@ -76,8 +75,7 @@ def cos_knn_filtered(spark: SparkSession, d: str) -> DataFrame:
 def cos_maxmerge(spark: SparkSession, d: str) -> DataFrame:
     """Several queries, one for each vector of a label, merged to one list of the label."""
     e = fx.table(spark, d, "embeddings")
-    near = V.pair_blocks(e, e, "vec_id", "embedding", "vec_id", "embedding", None, None).where("l <> r")
-    s = near.join(e.select(F.col("vec_id").alias("l"), "label"), "l").select("label", F.col("r").alias("id"), F.round("score", 6).alias("score"))
+    s = V.merged(e, e, "vec_id", "embedding", "label", "vec_id", "embedding").select(F.col("l").alias("label"), F.col("r").alias("id"), F.round("score", 6).alias("score"))
     return lexical.top_k(lexical.max_merge(s, ["label", "id"]), 30, ["label"]).select("label", "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -111,17 +109,57 @@ _QUOTA = "SELECT cr, {layer}, id, {score} AS score, row_number() OVER (PARTITION
 c AS (SELECT cr, layer, id, score / (score + CAST(1 AS DOUBLE)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY cr, layer ORDER BY score DESC, id) AS r FROM l) WHERE r <= 12)
 SELECT cr, id, round(max(score), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY cr, layer ORDER BY score DESC, id) AS r FROM c) WHERE r <= 12 GROUP BY cr, id""")
 def bm25_layer_quota(spark: SparkSession, d: str) -> DataFrame:
+    """The lexical side alone; quota_both has the dense one too."""
+    return _quota(spark, d, code_scores(spark, d))
+
+
+def _quota(spark: SparkSession, d: str, scores: DataFrame) -> DataFrame:
     layer = fx.codes(spark, d).select("id", F.coalesce("file_class", F.lit("None")).alias("layer"))
-    s = code_scores(spark, d).join(layer, "id")
+    s = scores.join(layer, "id")
     return lexical.layer_quota(s.limit(0), s, ["cr"], "layer").select("cr", "id", F.round("score", 6).alias("score"))
 
 
-def lists(spark: SparkSession, d: str) -> DataFrame:
-    """(cr, change_type, path, id, rank): the lexical lists of both collections, and the codes by layer quota as a third"""
-    a = bm25_topk_filtered(spark, d).select("cr", F.lit("bm25_doc").alias("path"), "id", "rank")
-    b = bm25_code_topk(spark, d).select("cr", F.lit("bm25_code"), "id", "rank")
-    c = lexical.top_k(bm25_layer_quota(spark, d), 30, ["cr"]).select("cr", F.lit("layer_quota"), "id", F.col("rank").cast("bigint"))
-    return a.union(b).union(c).join(F.broadcast(fx.requests(spark, d).select("cr", "change_type")), "cr")
+@query(f"""{BOTH}, l AS (SELECT cr, coalesce(file_class, 'None') AS layer, id, score FROM bc JOIN codes USING (id) WHERE score > 0),
+e AS (SELECT cr, coalesce(file_class, 'None') AS layer, id, round(CAST(len(list_intersect(list_distinct({fx.sql_tokens('req.text')}), list_distinct({fx.sql_tokens('name')}))) AS DOUBLE) / 10, 6) AS score FROM req, codes),
+c AS (SELECT cr, layer, id, score FROM (SELECT *, row_number() OVER (PARTITION BY cr, layer ORDER BY score DESC, id) AS r FROM e) WHERE r <= 12
+ UNION ALL SELECT cr, layer, id, score / (score + CAST(1 AS DOUBLE)) FROM (SELECT *, row_number() OVER (PARTITION BY cr, layer ORDER BY score DESC, id) AS r FROM l) WHERE r <= 12),
+m AS (SELECT cr, layer, id, max(score) AS score FROM c GROUP BY cr, layer, id)
+SELECT cr, id, round(max(score), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY cr, layer ORDER BY score DESC, id) AS r FROM m) WHERE r <= 12 GROUP BY cr, id""")
+def quota_both(spark: SparkSession, d: str) -> DataFrame:
+    """Layer quotas over both kinds of scores; shared terms of the names stand for cosines."""
+    layer = F.coalesce("file_class", F.lit("None")).alias("layer")
+    words = lambda c: F.array_distinct(X.tokenise(F.col(c)))
+    codes = fx.codes(spark, d)
+    near = fx.requests(spark, d).select("cr", words("text").alias("a")).join(codes.select("id", layer, words("name").alias("b")))
+    dense = near.select("cr", "layer", "id", F.round(F.size(F.array_intersect("a", "b")) / F.lit(10.0), 6).alias("score"))
+    s = code_scores(spark, d).join(codes.select("id", layer), "id")
+    return lexical.layer_quota(dense, s, ["cr"], "layer").select("cr", "id", F.round("score", 6).alias("score"))
+
+
+def _doc_top(spark: SparkSession, d: str, scores: DataFrame) -> DataFrame:
+    s = scores.where("score > 0").join(fx.docs(spark, d).where(F.col("chunk_type").isin("FR", "Design")).select("id"), "id", "left_semi")
+    return lexical.top_k(s, 30, ["cr"]).select("cr", "id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _code_top(scores: DataFrame) -> DataFrame:
+    return lexical.top_k(scores.where("score > 0"), 30, ["cr"]).select("cr", "id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def lists(spark: SparkSession, d: str, doc: DataFrame, code: DataFrame) -> DataFrame:
+    """(cr, change_type, path, id, rank) of the BM25 scores: the lexical lists of both collections, and the codes by layer quota as a third"""
+    a = _doc_top(spark, d, doc).select("cr", F.lit("bm25_doc").alias("path"), "id", "rank")
+    b = _code_top(code).select("cr", F.lit("bm25_code"), "id", "rank")
+    c = lexical.top_k(_quota(spark, d, code), 30, ["cr"]).select("cr", F.lit("layer_quota"), "id", F.col("rank").cast("bigint"))
+    return a.union(b).union(c).join(fx.requests(spark, d).select("cr", "change_type"), "cr")
+
+
+def scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The BM25 scores of both collections, once for all that a query makes of them."""
+    return written(doc_scores(spark, d)), written(code_scores(spark, d))
+
+
+def fused(spark: SparkSession, d: str, doc: DataFrame, code: DataFrame) -> DataFrame:
+    return R.fuse(lists(spark, d, doc, code), dims.rrf_weights(spark)).select("cr", "id", F.round("rrf", 6).alias("rrf"))
 
 
 LISTS = f"""{BOTH}, l AS (SELECT cr, coalesce(file_class, 'None') AS layer, id, score FROM bc JOIN codes USING (id) WHERE score > 0),
@@ -135,12 +173,12 @@ fused AS (SELECT cr, id, round(sum(coalesce(weight, CAST(1 AS DOUBLE)) / (CAST(6
 
 @query(f"{LISTS} SELECT cr, id, rrf FROM fused")
 def rrf_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return R.fuse(lists(spark, d), dims.rrf_weights(spark)).select("cr", "id", F.round("rrf", 6).alias("rrf"))
+    return fused(spark, d, *scored(spark, d))
 
 
 @query(f"{LISTS} SELECT cr, id, round(sum(CAST(1 AS DOUBLE) / (CAST(60 AS DOUBLE) + rank)), 6) AS rrf FROM lists GROUP BY cr, id")
 def rrf_unweighted(spark: SparkSession, d: str) -> DataFrame:
-    return R.fuse(lists(spark, d), None).select("cr", "id", F.round("rrf", 6).alias("rrf"))
+    return R.fuse(lists(spark, d, *scored(spark, d)), None).select("cr", "id", F.round("rrf", 6).alias("rrf"))
 
 
 POOL = f"""{LISTS}, pool AS (SELECT f.cr, f.id AS node_id, CASE WHEN c.id IS NOT NULL THEN 'code' ELSE 'doc' END AS collection, c.name, coalesce(c.file_path, t.source_file) AS file_path, c.file_class, t.chunk_type, f.rrf,
@@ -151,10 +189,11 @@ POOL = f"""{LISTS}, pool AS (SELECT f.cr, f.id AS node_id, CASE WHEN c.id IS NOT
 
 def pool(spark: SparkSession, d: str) -> DataFrame:
     """The fused pool of each request, cut to 200 and joined with what its members are; raw is the saturated BM25 score."""
-    top = R.best(rrf_weighted(spark, d).withColumnRenamed("id", "node_id"), 200, "rrf").drop("rank")
+    doc, code = scored(spark, d)
+    top = R.best(fused(spark, d, doc, code).withColumnRenamed("id", "node_id"), 200, "rrf").drop("rank")
     c = fx.codes(spark, d).select(F.col("id").alias("node_id"), "name", F.col("file_path").alias("_f"), "file_class", F.lit("code").alias("collection"))
     t = fx.docs(spark, d).select(F.col("id").alias("node_id"), F.col("source_file").alias("_g"), "chunk_type")
-    s = doc_scores(spark, d).unionByName(code_scores(spark, d)).groupBy("cr", F.col("id").alias("node_id")).agg(F.max("score").alias("s"))
+    s = doc.unionByName(code).groupBy("cr", F.col("id").alias("node_id")).agg(F.max("score").alias("s"))
     j = top.join(c, "node_id", "left").join(t, "node_id", "left").join(s, ["cr", "node_id"], "left")
     raw = F.round(F.coalesce(X.saturate(F.col("s")), F.lit(0.0)), 6)
     return j.select("cr", "node_id", F.coalesce("collection", F.lit("doc")).alias("collection"), "name", F.coalesce("_f", "_g").alias("file_path"), "file_class", "chunk_type", "rrf", raw.alias("raw"))
