@@ -82,42 +82,52 @@ def propagate(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, config: Data
     return last.select(*(["node_id"] if single else key), "t.depth", "t.chain", "t.path", "t.seed", severity(F.col("t.chain")).alias("severity"), (F.col("t.depth") == 0).alias("is_seed"))
 
 
+def _key(df: DataFrame) -> list[str]:
+    """cr, where rows are of several requests, each followed by itself."""
+    return ["cr"] if "cr" in df.columns else []
+
+
 def collapse_fields(cis: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, collapsed_children): the set without propagated interface fields that only containment ties to a parent in it; parents list them."""
-    fields = cis.where(~F.col("is_seed")).join(nodes.where("node_type = 'InterfaceField'").select("node_id"), "node_id", "left_semi").select("node_id")
+    """cis (cr?, node_id, is_seed, …) without propagated interface fields that only containment ties to a parent in it; parents list them as collapsed_children."""
+    key = _key(cis)
+    fields = cis.where(~F.col("is_seed")).join(nodes.where("node_type = 'InterfaceField'").select("node_id"), "node_id", "left_semi").select(*key, "node_id")
     ends = edges.select(F.explode(F.array(F.struct(F.col("source_id").alias("n"), "edge_type"), F.struct(F.col("target_id").alias("n"), "edge_type"))).alias("e")).select("e.*")
-    only = ends.join(fields, F.col("n") == F.col("node_id"), "left_semi").groupBy("n").agg(F.min("edge_type").alias("a"), F.max("edge_type").alias("b")).where("a = 'CONTAINS' AND b = 'CONTAINS'")
-    owners = nodes.where(F.col("node_type").isin("Interface", "Enum", "Class", "File")).select("node_id")
-    fold = edges.where("edge_type = 'CONTAINS'").join(only, F.col("target_id") == F.col("n")).join(cis.select(F.col("node_id").alias("p")), F.col("source_id") == F.col("p"), "left_semi").join(owners, F.col("source_id") == F.col("node_id"), "left_semi").select(F.col("source_id").alias("parent"), F.col("target_id").alias("child")).distinct()
-    kids = fold.groupBy("parent").agg(F.array_sort(F.collect_list("child")).alias("collapsed_children"))
-    rest = cis.join(fold.select(F.col("child").alias("node_id")).distinct(), "node_id", "left_anti").select("node_id")
-    return rest.join(kids, F.col("node_id") == F.col("parent"), "left").select("node_id", F.coalesce("collapsed_children", F.array().cast("array<string>")).alias("collapsed_children"))
+    only = ends.join(fields.select(F.col("node_id").alias("n")).distinct(), "n", "left_semi").groupBy("n").agg(F.min("edge_type").alias("a"), F.max("edge_type").alias("b")).where("a = 'CONTAINS' AND b = 'CONTAINS'").select(F.col("n").alias("child"))
+    owners = nodes.where(F.col("node_type").isin("Interface", "Enum", "Class", "File")).select(F.col("node_id").alias("parent"))
+    link = edges.where("edge_type = 'CONTAINS'").select(F.col("source_id").alias("parent"), F.col("target_id").alias("child")).join(only, "child", "left_semi").join(owners, "parent", "left_semi")
+    fold = fields.withColumnRenamed("node_id", "child").join(link, "child").join(cis.select(*key, F.col("node_id").alias("parent")), [*key, "parent"], "left_semi").select(*key, "parent", "child").distinct()
+    kids = fold.groupBy(*key, F.col("parent").alias("node_id")).agg(F.array_sort(F.collect_list("child")).alias("collapsed_children"))
+    rest = cis.join(fold.select(*key, F.col("child").alias("node_id")).distinct(), [*key, "node_id"], "left_anti")
+    return rest.join(kids, [*key, "node_id"], "left").withColumn("collapsed_children", F.coalesce("collapsed_children", F.array().cast("array<string>")))
 
 
 SIBLING_TYPES = ("Class", "Enum", "Function", "Interface", "Method", "TypeAlias", "Variable")
 
 
-def siblings(cis: DataFrame, nodes: DataFrame, per_file: int = 12, types: tuple[str, ...] = SIBLING_TYPES) -> DataFrame:
-    """(file_path, node_id, anchor, rank): other symbols of the files that hold a member of cis, up to per_file of each; anchor is the file's least member."""
-    anchor = cis.join(nodes, "node_id").where(~F.col("node_type").isin("File", "ExternalPackage") & F.col("file_path").isNotNull()).groupBy("file_path").agg(F.min("node_id").alias("anchor"))
-    other = nodes.where(F.col("node_type").isin(*types)).join(cis.select("node_id"), "node_id", "left_anti").select("file_path", "node_id")
-    w = Window.partitionBy("file_path").orderBy("node_id")
-    return other.join(anchor, "file_path").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_file)
+def siblings(cis: DataFrame, nodes: DataFrame, per_file: int = 12, types: tuple[str, ...] = SIBLING_TYPES, anchors: DataFrame | None = None) -> DataFrame:
+    """(cr?, file_path, node_id, anchor, rank): other symbols of the files that hold an anchor (a member of cis, where none are given), up to per_file of each; anchor is the file's least."""
+    key = _key(cis)
+    anchor = (cis if anchors is None else anchors).join(nodes, "node_id").where(~F.col("node_type").isin("File", "ExternalPackage") & F.col("file_path").isNotNull()).groupBy(*key, "file_path").agg(F.min("node_id").alias("anchor"))
+    other = nodes.where(F.col("node_type").isin(*types)).select("file_path", "node_id").join(anchor, "file_path").join(cis.select(*key, "node_id"), [*key, "node_id"], "left_anti")
+    w = Window.partitionBy(*key, "file_path").orderBy("node_id")
+    return other.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_file)
 
 
 def admit(found: DataFrame, per_file: int = 4, per_cr: int = 0) -> DataFrame:
-    """Siblings (file_path, node_id, rank) within the caps; 0 is no cap."""
+    """Siblings (cr, file_path, node_id, rank) within the caps; 0 is no cap. The cap of a request needs its cr."""
     if per_file:
-        found = found.where(F.col("rank") <= per_file)
+        w = Window.partitionBy(*_key(found), "file_path").orderBy("rank", "node_id")
+        found = found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_file).drop("_n")
     if per_cr:
-        w = Window.orderBy("rank", "file_path", "node_id")
+        w = Window.partitionBy("cr").orderBy("rank", "file_path", "node_id")
         found = found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_cr).drop("_n")
     return found
 
 
 def combine(seeds: DataFrame, propagated: DataFrame) -> DataFrame:
     """Seeds override what was propagated to them."""
-    return seeds.unionByName(propagated.join(seeds.select("node_id"), "node_id", "left_anti"))
+    key = [*_key(seeds), "node_id"]
+    return seeds.unionByName(propagated.join(seeds.select(*key), key, "left_anti"))
 
 
 def undirected(edges: DataFrame, config: DataFrame) -> DataFrame:
@@ -127,32 +137,48 @@ def undirected(edges: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def label_propagation(pool: DataFrame, edges: DataFrame, config: DataFrame, top: int = 5, hops: int = 2, decay: float = 0.5, written=lambda df: df) -> DataFrame:
-    """(node_id, graph_score): mass of the `top` best of pool (node_id, score), after `hops` hops, the seeds' own mass taken off."""
-    seed = pool.orderBy(F.desc("score"), "node_id").limit(top).select("node_id", F.greatest("score", F.lit(0.0)).alias("m"))
-    whole = seed.agg(F.sum("m").alias("t"))
-    now = seed.crossJoin(F.broadcast(whole)).select("node_id", F.when(F.col("t") > 0, F.col("m") / F.col("t")).otherwise(F.col("m")).alias("m"))
+    """(cr?, node_id, graph_score): mass of the `top` best of pool (cr?, node_id, score), after `hops` hops, the seeds' own mass taken off."""
+    key = _key(pool)
+    w = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))
+    if key:
+        seed = pool.withColumn("_n", F.row_number().over(w.orderBy(F.desc("score"), "node_id"))).where(F.col("_n") <= top)
+    else:
+        seed = pool.orderBy(F.desc("score"), "node_id").limit(top)
+    seed = seed.select(*key, "node_id", F.greatest("score", F.lit(0.0)).alias("m")).withColumn("t", F.sum("m").over(w))
+    now = seed.select(*key, "node_id", F.when(F.col("t") > 0, F.col("m") / F.col("t")).otherwise(F.col("m")).alias("m"))
     link, parts, weight = undirected(edges, config), None, 1.0
     for hop in range(hops):
         weight = weight * decay if hop else weight
-        now = written(now.join(link, F.col("node_id") == F.col("a")).groupBy("b").agg(F.sum(F.col("m") * F.col("w")).alias("m")).select(F.col("b").alias("node_id"), "m"))
-        part = now.select("node_id", (F.col("m") * weight).alias("m"))
+        now = written(now.join(link, F.col("node_id") == F.col("a")).groupBy(*key, "b").agg(F.sum(F.col("m") * F.col("w")).alias("m")).select(*key, F.col("b").alias("node_id"), "m"))
+        part = now.select(*key, "node_id", (F.col("m") * weight).alias("m"))
         parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("node_id").agg(F.greatest(F.sum("m"), F.lit(0.0)).alias("graph_score"))
+    return parts.groupBy(*key, "node_id").agg(F.greatest(F.sum("m"), F.lit(0.0)).alias("graph_score"))
+
+
+def _span(a: str, b: str):
+    return F.when(F.col(b) > F.col(a), F.col(b) - F.col(a)).otherwise(F.lit(1.0))
 
 
 def blend(pool: DataFrame, graph: DataFrame, alpha: float = 0.7) -> DataFrame:
-    """Pool (node_id, score) with blended = alpha · scaled score + (1 - alpha) · scaled graph score."""
-    x = pool.join(graph, "node_id", "left").withColumn("g", F.coalesce("graph_score", F.lit(0.0))).withColumn("c", F.greatest("score", F.lit(0.0)))
-    ends = x.agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("g").alias("g0"), F.max("g").alias("g1"))
-    span = lambda a, b: F.when(F.col(b) > F.col(a), F.col(b) - F.col(a)).otherwise(F.lit(1.0))
-    cn, gn = (F.col("c") - F.col("c0")) / span("c0", "c1"), (F.col("g") - F.col("g0")) / span("g0", "g1")
-    return x.crossJoin(F.broadcast(ends)).withColumn("blended", F.lit(alpha) * cn + F.lit(1 - alpha) * gn).drop("c0", "c1", "g0", "g1", "c")
+    """Pool (cr?, node_id, score) with blended = alpha · scaled score + (1 - alpha) · scaled graph score; each request by itself."""
+    key = _key(pool)
+    x = pool.join(graph, [*key, "node_id"], "left").withColumn("g", F.coalesce("graph_score", F.lit(0.0))).withColumn("c", F.greatest("score", F.lit(0.0)))
+    ends = x.groupBy(*key).agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("g").alias("g0"), F.max("g").alias("g1"))
+    x = x.join(ends, key) if key else x.crossJoin(F.broadcast(ends))  # without requests one row
+    cn, gn = (F.col("c") - F.col("c0")) / _span("c0", "c1"), (F.col("g") - F.col("g0")) / _span("g0", "g1")
+    return x.withColumn("blended", F.lit(alpha) * cn + F.lit(1 - alpha) * gn).drop("c0", "c1", "g0", "g1", "c")
 
 
 def discovered(pool: DataFrame, graph: DataFrame, nodes: DataFrame, blended: DataFrame, top: int = 10, least: float = 0.1) -> DataFrame:
-    """(node_id, score, rrf): the `top` best code nodes outside the pool by graph score, of which those of scaled score `least` or more enter at the pool's upper median, and half of it as rrf."""
+    """(cr?, node_id, score, rrf): the `top` best code nodes outside the pool by graph score, of which those of scaled score `least` or more enter at the pool's upper median, and half of it as rrf."""
+    key = _key(pool)
     code = nodes.where(F.col("node_type") != dims.NEVER).select("node_id")
-    new = graph.join(code, "node_id", "left_semi").join(pool.select("node_id"), "node_id", "left_anti").orderBy(F.desc("graph_score"), "node_id").limit(top)
-    ends = blended.agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.expr("sort_array(collect_list(blended))[int(count(*) / 2)]").alias("mid"))
-    gn = (F.col("graph_score") - F.col("g0")) / F.when(F.col("g1") > F.col("g0"), F.col("g1") - F.col("g0")).otherwise(F.lit(1.0))
-    return new.crossJoin(F.broadcast(ends)).where(gn >= least).select("node_id", F.col("mid").alias("score"), (F.col("mid") / 2).alias("rrf"))
+    new = graph.join(code, "node_id", "left_semi").join(pool.select(*key, "node_id"), [*key, "node_id"], "left_anti")
+    if key:
+        new = new.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("graph_score"), "node_id"))).where(F.col("_n") <= top).drop("_n")
+    else:
+        new = new.orderBy(F.desc("graph_score"), "node_id").limit(top)
+    ends = blended.groupBy(*key).agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.expr("sort_array(collect_list(blended))[int(count(*) / 2)]").alias("mid"))  # a pool has 200 members at most
+    new = new.join(ends, key) if key else new.crossJoin(F.broadcast(ends))
+    gn = (F.col("graph_score") - F.col("g0")) / _span("g0", "g1")
+    return new.where(gn >= least).select(*key, "node_id", F.col("mid").alias("score"), (F.col("mid") / 2).alias("rrf"))

@@ -5,9 +5,11 @@ A pool has (cr, node_id, collection, name, file_path, score, raw, …); every op
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import contains_any
+from ..functions.text import contains_any, tokenise
 
 
 def fuse(lists: DataFrame, weights: DataFrame | None, k: int = 60) -> DataFrame:
@@ -43,6 +45,26 @@ def negative_filter(pool: DataFrame, needles: Column, penalty: float = -1.0, lea
     return pool.withColumn("score", F.col("score") + F.when(contains_any(F.col("name"), needles, least), F.lit(penalty)).otherwise(F.lit(0.0)))
 
 
+def overlap(rows: DataFrame) -> DataFrame:
+    """rows (…, query, text) with score: the share of the query's terms that the text has. It stands in for a cross-encoder, which any function of this form may be."""
+    terms = lambda c: F.array_distinct(tokenise(F.col(c)))
+    q = terms("query")
+    return rows.withColumn("score", F.size(F.array_intersect(q, terms("text"))) / F.greatest(F.size(q), F.lit(1)))
+
+
+def cross_encode(pool: DataFrame, texts: DataFrame, queries: DataFrame, scorer: Callable[[DataFrame], DataFrame] = overlap, places: int = 6) -> DataFrame:
+    """pool (cr, node_id, …) with raw: the largest score of any of the request's queries (cr, q, text); null texts count as empty.
+
+    texts: (node_id, abstraction, snippet), of which the abstraction goes before
+    the snippet. All pairs of a request's queries and its candidates are scored
+    in one call; a request without queries scores 0.
+    """
+    body = F.coalesce(F.nullif("abstraction", F.lit("")), "snippet", F.lit("")).alias("text")
+    pairs = pool.select("cr", "node_id").join(texts.select("node_id", body), "node_id").join(queries.select("cr", F.col("text").alias("query")), "cr")
+    best_ = scorer(pairs).groupBy("cr", "node_id").agg(F.max("score").alias("raw"))
+    return pool.join(best_, ["cr", "node_id"], "left").withColumn("raw", F.round(F.coalesce("raw", F.lit(0.0)), places))
+
+
 def scale(pool: DataFrame, score: str = "score") -> DataFrame:
     """Min-max scaling within each request; equal scores stay."""
     w = Window.partitionBy("cr")
@@ -55,12 +77,17 @@ def score_floor(pool: DataFrame, floor: float = -2.0) -> DataFrame:
 
 
 def semantic_dedup(pool: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Docs whose first code is in the request's pool go; the code lists them in merged_docs."""
+    """Docs whose first code is in the request's pool go; the code lists them in merged_docs, and where the pool has texts (title, text) also those, as merged."""
     first = matrix.groupBy("doc_id").agg(F.min_by("code_id", F.struct(-F.col("score"), F.col("code_id"))).alias("code_id"))
     doc = pool.where("collection = 'doc'").select("cr", F.col("node_id").alias("doc_id")).join(first, "doc_id")
     code = pool.where("collection = 'code'").select("cr", F.col("node_id").alias("code_id"))
     folded = doc.join(code, ["cr", "code_id"])
-    merged = folded.groupBy("cr", F.col("code_id").alias("node_id")).agg(F.array_sort(F.collect_set("doc_id")).alias("merged_docs")).withColumn("collection", F.lit("code"))
+    texts = "text" in pool.columns
+    if texts:
+        own = pool.where("collection = 'doc'").select("cr", F.col("node_id").alias("doc_id"), F.struct(F.col("node_id").alias("id"), F.col("title"), F.col("text")).alias("_m"))
+        folded = folded.join(own, ["cr", "doc_id"])
+    listed = [F.array_sort(F.collect_set("doc_id")).alias("merged_docs"), *([F.transform(F.array_sort(F.collect_set("_m")), lambda m: F.struct(m["title"], m["text"])).alias("merged")] if texts else [])]
+    merged = folded.groupBy("cr", F.col("code_id").alias("node_id")).agg(*listed).withColumn("collection", F.lit("code"))
     gone = folded.select("cr", F.col("doc_id").alias("node_id"), F.lit("doc").alias("collection")).distinct()
     return pool.join(gone, ["cr", "node_id", "collection"], "left_anti").join(merged, ["cr", "node_id", "collection"], "left").withColumn("merged_docs", F.coalesce("merged_docs", F.array().cast("array<string>")))
 

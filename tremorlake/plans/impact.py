@@ -203,11 +203,11 @@ def prompt_batches(spark: SparkSession, d: str) -> DataFrame:
     return V.prompts(c, F.concat("role", F.lit(": "), F.substring("text", 1, 500)))
 
 
-@query("SELECT doc_id, CASE WHEN lang IN ('en', 'de') AND length(source) > 4 THEN source WHEN lang <> 'es' THEN substr(text, 1, 100) ELSE text END AS snippet FROM documents")
+@query("SELECT doc_id, CASE WHEN lang IN ('en', 'de') AND length(source) > 4 THEN source WHEN lang <> 'es' THEN 'source: ' || text ELSE text END AS snippet FROM documents")
 def snippet_pick(spark: SparkSession, d: str) -> DataFrame:
     lang = F.col("lang")
     kind = F.when(lang == "en", "Function").when(lang == "de", "Method").otherwise("Class")
-    return fx.table(spark, d, "documents").select("doc_id", P.snippet(kind, F.when(F.length("source") > 4, F.col("source")).otherwise(""), F.when(lang != "es", F.substring("text", 1, 100)), F.col("text")).alias("snippet"))
+    return fx.table(spark, d, "documents").select("doc_id", P.snippet(kind, F.when(F.length("source") > 4, F.col("source")).otherwise(""), F.when(lang != "es", F.concat(F.lit("source: "), "text")), F.col("text")).alias("snippet"))
 
 
 @query("WITH r AS (SELECT lang AS cr, doc_id AS node_id, doc_id % 9 = 0 AS is_seed, row_number() OVER (PARTITION BY lang, doc_id % 9 = 0 ORDER BY n_chars % 3, n_chars % 4, doc_id) AS p, count(*) OVER (PARTITION BY lang) AS n, sum(CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY lang) AS s FROM documents) SELECT cr, node_id FROM r WHERE n * 2000 <= 240000 OR is_seed OR p <= greatest(0, 120 - s)")
@@ -226,12 +226,12 @@ def budget_pack(spark: SparkSession, d: str) -> DataFrame:
     return P.pack_blocks(c, "conv_id", "turn", "cost", 300).select("conv_id", "used", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"))
 
 
-_ENT = "ent AS (SELECT source AS file_path, 'd' || doc_id AS node_id, CASE n_chars % 3 WHEN 0 THEN 'Tinggi' WHEN 1 THEN 'Menengah' ELSE 'Rendah' END AS severity, n_chars % 3 AS rank, substr(text, 1, 50) AS justification FROM documents)"
+_ENT = "ent AS (SELECT source AS file_path, 'd' || doc_id AS node_id, CASE n_chars % 3 WHEN 0 THEN 'Tinggi' WHEN 1 THEN 'Menengah' ELSE 'Rendah' END AS severity, n_chars % 3 AS rank, text AS justification FROM documents)"
 
 
 @query(f"WITH {_ENT} SELECT file_path, count(*) AS entities, CASE min(rank) WHEN 0 THEN 'Tinggi' WHEN 1 THEN 'Menengah' ELSE 'Rendah' END AS severity, arg_min(justification, lpad(CAST(rank AS VARCHAR), 2, '0') || node_id) AS sample FROM ent GROUP BY file_path")
 def file_rollup(spark: SparkSession, d: str) -> DataFrame:
-    e = fx.table(spark, d, "documents").select(F.col("source").alias("file_path"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node_id"), fx.pick(F.col("n_chars") % 3, [dims.HIGH, dims.MEDIUM, dims.LOW]).alias("severity"), F.substring("text", 1, 50).alias("justification"))
+    e = fx.table(spark, d, "documents").select(F.col("source").alias("file_path"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node_id"), fx.pick(F.col("n_chars") % 3, [dims.HIGH, dims.MEDIUM, dims.LOW]).alias("severity"), F.col("text").alias("justification"))
     return P.file_rollup(e).select("file_path", "entities", "severity", "sample")
 
 
@@ -264,7 +264,7 @@ def graph_density(spark: SparkSession, d: str) -> DataFrame:
     return A.density(fx.nodes(spark, d), fx.edges(spark, d)).select("edges", "nodes", F.round("density", 6).alias("density"))
 
 
-@query(f"{GRAPH}, own AS (SELECT * FROM edges WHERE edge_type <> 'CALLS' AND edge_type <> 'DEFINES_METHOD') SELECT node_id, node_type FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM own WHERE source_id = n.node_id) AND NOT EXISTS (SELECT 1 FROM own WHERE target_id = n.node_id)")
+@query(f"{GRAPH}, own AS MATERIALIZED (SELECT source_id AS node_id FROM edges WHERE edge_type NOT IN ('CALLS', 'DEFINES_METHOD') UNION SELECT target_id FROM edges WHERE edge_type NOT IN ('CALLS', 'DEFINES_METHOD')) SELECT node_id, node_type FROM nodes ANTI JOIN own USING (node_id)")
 def orphans(spark: SparkSession, d: str) -> DataFrame:
     """Nodes without structural edges, calls left aside"""
     return A.orphans(fx.nodes(spark, d), fx.edges(spark, d).where(~F.col("edge_type").isin("CALLS", "DEFINES_METHOD"))).select("node_id", "node_type")
