@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analyze, impact, measures, retrieval  # noqa: F401
+from .plans import analyze, impact, measures, retrieval, upkeep  # noqa: F401
 from .plans.registry import ORACLE, QUERIES  # noqa: F401
 
 

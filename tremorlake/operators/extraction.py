@@ -311,9 +311,11 @@ def resolve_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.join(first, ["file_path", "spec"])
 
 
-def edges(files: DataFrame) -> DataFrame:
-    """(source_id, target_id, edge_type) of files (path, content), all targets among their nodes."""
+def edges(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(source_id, target_id, edge_type) of files (path, content), all targets among their nodes and those known of other files."""
     n, r = nodes(files), references(files)
+    if known is not None:
+        n = n.select(*known.columns).unionByName(known.join(n.select("node_id"), "node_id", "left_anti"))
     ids = n.select(F.col("node_id").alias("target_id"))
     own_files = n.where("node_type = 'File'").select("file_path")
     routed = n.where("file_classification = 'API_ROUTE'").select("file_path", "node_id", "node_type", "name", "route_path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -59,3 +61,38 @@ def drop_outgoing(edges: DataFrame, nodes: DataFrame, files: DataFrame) -> DataF
     """Edges whose source isn't in these files."""
     own = nodes.join(files.select("file_path"), "file_path", "left_semi").select(F.col("node_id").alias("source_id"))
     return edges.join(own, "source_id", "left_anti").select(*edges.columns)
+
+
+def drop_dependencies(dependencies: DataFrame, files: DataFrame) -> DataFrame:
+    """Dependencies of other files than these; those on them stay."""
+    return dependencies.join(files.select(F.col("file_path").alias("dependent_file")), "dependent_file", "left_anti").select(*dependencies.columns)
+
+
+def dependencies(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(dependent_file, target_file): files whose edges lead to another file, each pair once."""
+    at = nodes.where("file_path IS NOT NULL").select("node_id", "file_path")
+    x = edges.join(at.select(F.col("node_id").alias("source_id"), F.col("file_path").alias("dependent_file")), "source_id").join(at.select(F.col("node_id").alias("target_id"), F.col("file_path").alias("target_file")), "target_id")
+    return x.where("dependent_file <> target_file").select("dependent_file", "target_file").distinct()
+
+
+def rebuild(stored: dict[str, DataFrame], files: DataFrame, extract: Callable[[DataFrame], DataFrame], link: Callable[[DataFrame, DataFrame], DataFrame], written=lambda df: df) -> dict[str, DataFrame]:
+    """The tables hashes, nodes, edges, pairs, dependencies after files (path, file_path, content, content_hash) took the place of what they were made from.
+
+    New and changed files are extracted again, those that depend on them or on
+    a deleted one are linked again, whatever a changed or deleted file had is
+    purged, and the rest stays. extract gives nodes of files, link the edges of
+    files against nodes known of others; pairs of purged nodes go, and the
+    matrix is the caller's to fill.
+    """
+    status = written(hash_diff(stored["hashes"], files.select("file_path", "content_hash")))
+    gone = status.where("status IN ('changed', 'deleted')").select("file_path")
+    work = status.where("status IN ('new', 'changed')").select("file_path")
+    again = reverse_dependents(status.where("status IN ('changed', 'deleted')").select("file_path"), stored["dependencies"]).join(work, "file_path", "left_anti")
+    redo = written(again.join(files.select("file_path"), "file_path", "left_semi"))
+    left = purge_files(stored["nodes"], drop_outgoing(stored["edges"], stored["nodes"], redo), stored["pairs"], drop_dependencies(stored["dependencies"], redo), gone)
+    fresh = written(extract(files.join(work, "file_path", "left_semi")).select(*stored["nodes"].columns))
+    nodes = written(left["nodes"].join(fresh.select("node_id"), "node_id", "left_anti").unionByName(fresh))
+    todo = files.join(work.unionByName(redo), "file_path", "left_semi")
+    edges = written(insert_ignore(left["edges"], link(todo, nodes).select(*stored["edges"].columns), ["source_id", "target_id", "edge_type"]))
+    hashes = replace(stored["hashes"].join(gone, "file_path", "left_anti"), files.join(work, "file_path", "left_semi").select("file_path", "content_hash"), "file_path")
+    return {"hashes": hashes, "nodes": nodes, "edges": edges, "pairs": left["pairs"], "dependencies": dependencies(edges, nodes)}

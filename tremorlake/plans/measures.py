@@ -106,7 +106,7 @@ def median_difference(spark: SparkSession, d: str) -> DataFrame:
 def wilcoxon_test(spark: SparkSession, d: str) -> DataFrame:
     """Statistics from Spark, p from the driver: one row for each priority."""
     rows = E.signed_ranks(_pairs(spark, d), ["k"], "a", "b").collect()
-    return spark.createDataFrame([(r["k"], r["n"], float(r["w_plus"]), E.wilcoxon_p(r["n"], r["w_plus"], r["ties"])) for r in rows], "k string, n long, w_plus double, p double")
+    return spark.createDataFrame(E.tested(rows), "k string, n long, w_plus double, p double")
 
 
 @query("WITH g AS (SELECT lang AS cr, source || '::' || doc_id AS node, source AS f FROM documents JOIN labels USING (doc_id) WHERE quality = 1), p AS (SELECT lang AS cr, source || '::' || doc_id AS node, source AS f FROM documents WHERE n_chars % 5 = 0) SELECT cr, node, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.cr = g.cr AND p.node = g.node) THEN 'EXACT' WHEN EXISTS (SELECT 1 FROM p WHERE p.cr = g.cr AND p.f = g.f) THEN 'FILE_ONLY' ELSE 'NO_FILE' END AS match FROM g")

@@ -39,6 +39,14 @@ def metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def vectors(spark: SparkSession, path: str) -> DataFrame:
+    """A collection of vectors; fails where its scores aren't of cosines, which would go wrong silently."""
+    space = spark.read.parquet(f"{path}/space").first()[0]
+    if space != "cosine":
+        raise ValueError(f"the vectors at {path} are of the space {space}, not cosine: they must be indexed again")
+    return spark.read.parquet(f"{path}/rows")
+
+
 def run_steps(spark: SparkSession, path: str, step: str) -> DataFrame:
     """(pos, node_id) of a step's array in a run report."""
     x = spark.read.schema(f"{step} array<struct<node_id:string>>").option("multiLine", True).json(path)
