@@ -6,6 +6,7 @@ similarities of a result are computed from the vectors as given.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,18 +59,20 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int = 0, rows: int = 30_0
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """(id, v) of the rows with an id and a finite, non-zero vector of length dim."""
+    """(n, id, x, v) of the rows with an id and a finite, non-zero vector of length dim, numbered by n: x as given, v normalised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+            x = np.asarray(b.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
             norm = np.linalg.norm(x, axis=1)
             ok = np.isfinite(norm) & (norm > 0)
             y = (x[ok] / norm[ok, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array([r.tobytes() for r in y], pa.binary())], ["id", "v"])
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).filter(keep) for i in range(3)), pa.array([r.tobytes() for r in y], pa.binary())], ["n", "id", "x", "v"])
 
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & (F.size("x") == dim) & ~F.exists("x", lambda y: y.isNull()))
-    return slim.groupBy("id").agg(F.min("x").alias("x")).mapInArrow(run, "id long, v binary")
+    slim = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & (F.size("x") == dim) & ~F.exists("x", lambda y: y.isNull()))
+    one = slim.groupBy("id").agg(F.min("x").alias("x")).select(F.monotonically_increasing_id().alias("n"), "id", "x")
+    return one.mapInArrow(run, f"n long, id {df.schema[id_col].dataType.simpleString()}, x array<double>, v binary")
 
 
 def _best(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -188,17 +191,17 @@ def _drawn(u: np.ndarray, v: np.ndarray, f: np.ndarray, step: int, most: int) ->
     return out
 
 
-def descend(vec: DataFrame, k: int = 48, sample: int = 20, steps: int = 10, delta: float = 0.01, dim: int | None = None, told: Callable[[str], None] = lambda _: None) -> DataFrame:
+def descend(vec: DataFrame, k: int = 32, sample: int = 12, delta: float = 0.01, dim: int | None = None, told: Callable[[str], None] = lambda _: None) -> DataFrame:
     """(u, ids, sims, fresh): the graph of each vector's k nearest found, by falling similarity.
 
     In every step each vertex draws up to `sample` fresh and as many other
     edges, those that end in it are drawn likewise, and what they lead to is
-    compared with each other where one side is fresh. It ends after `steps`
-    steps, or when less than delta of the edges are new.
+    compared with each other where one side is fresh. It ends when less than
+    delta of the edges are new; as a list only ever gets nearer, it does end.
     """
     n = vec.count()
     graph = written(_merge(first_graph(vec, n, k, dim).select("u", "v", "s", F.lit(True).alias("fresh")), k))
-    for step in range(steps):
+    for step in itertools.count():
 
         def edges(batches: Iterator[pa.RecordBatch], step=step) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -256,107 +259,126 @@ def descend(vec: DataFrame, k: int = 48, sample: int = 20, steps: int = 10, delt
     return graph
 
 
-def search(vec: DataFrame, graph: DataFrame, beams: DataFrame, dim: int, ef: int = 64, expand: int = 6, steps: int = 4) -> DataFrame:
-    """(q, ids, sims): greedy search of the graph for every row (q, v, ids, sims) of beams, which holds entry points.
+def enter(vec: DataFrame, queries: DataFrame, dim: int, ef: int, entries: int) -> DataFrame:
+    """(q, ids, sims, fresh) to start from: of up to `entries` vertices, drawn by hash, the ef nearest to each query (q, own, v)."""
+    drawn = vec.orderBy(F.xxhash64("id"), "id").limit(entries).collect()  # a fixed number of vectors
+    ids = np.array([r["id"] for r in drawn], np.int64)
+    x = np.stack([np.frombuffer(r["v"], np.float32) for r in drawn]) if drawn else np.zeros((0, dim), np.float32)
 
-    In each step the best `expand` vertices of a beam that haven't been visited
-    are, all their neighbours are compared with the query, and the best ef stay.
-    It ends when all of every beam has been visited, or after `steps` steps.
-    """
-    edge = graph.select("u", F.explode("ids").alias("id")).join(vec, "id").select("u", "id", "v").repartition("u").sortWithinPartitions("u")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                own = part.column(1).to_numpy()
+                s = _block(part.column(2), dim) @ x.T
+                s[ids[None, :] == own[:, None]] = -9
+                m = min(ef, s.shape[1])
+                top = np.argsort(-s, axis=1, kind="stable")[:, :m]
+                sims = np.take_along_axis(s, top, 1)
+                ok = sims > -9
+                offs = pa.array(np.concatenate([[0], np.cumsum(ok.sum(axis=1))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offs, pa.array(y[ok])) for y in (ids[top], sims.astype(np.float32), np.ones(ok.shape, bool))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["q", "ids", "sims", "fresh"])
+
+    return queries.select("q", "own", "v").mapInArrow(run, "q long, ids array<long>, sims array<float>, fresh array<boolean>")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _groups(batches, rows=20_000):
-            u, x = b.column(0).to_numpy(), _block(b.column(2), dim)
-            at = _runs(u)
-            # parts of 16 neighbours, so that a batch of rows stays small
-            at = np.unique(np.concatenate([at, *(np.arange(i, j, 16) for i, j in zip(at[:-1], at[1:]))])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u[at[:-1]]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), b.column(1)), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["u", "near", "block"])
 
-    near = written(edge.mapInArrow(rows, "u long, near array<long>, block binary"))
-    _release(near)
-    query = beams.select("q", F.col("v").alias("qv"))
-    beam = beams.select("q", F.col("ids"), F.col("sims"), F.transform("ids", lambda _: F.lit(True)).alias("open"))
-    for _ in range(steps):
+def search(vec: DataFrame, graph: DataFrame, queries: DataFrame, dim: int, ef: int = 192, expand: int = 24, entries: int = 2048, told: Callable[[str], None] = lambda _: None) -> DataFrame:
+    """(q, ids, sims, fresh): greedy search of the graph for every query (q, own, v), own being a vertex to leave out.
+
+    In each step the best `expand` vertices of a beam that haven't been visited
+    are: what their lists lead to is compared with the query, and the best ef
+    stay. It ends when every vertex of every beam has been visited. What moves
+    is one vector for each vertex that a query meets in a step.
+    """
+    near = graph.select("u", "ids")
+    beam = written(enter(vec, queries, dim, ef, entries))
+    for step in itertools.count():
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 q, v, s, f = _flat(b)
-                r = np.flatnonzero(f)
-                at = _runs(q[r])
-                rank = np.arange(len(r)) - np.repeat(at[:-1], np.diff(at)) if len(r) else r
-                r = r[rank < expand]
-                low = {}
                 n = np.diff(b.column(1).offsets.to_numpy())
                 last = np.cumsum(n) - 1
                 bound = np.where(n >= ef, s[np.maximum(last, 0)] if len(s) else 0, -2.0).astype(np.float32)
-                owner = np.repeat(np.arange(b.num_rows), n)[r]
-                yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(v[r]), pa.array(bound[owner])], ["q", "u", "low"])
+                r = _next(q, f, expand)
+                yield pa.RecordBatch.from_arrays([pa.array(q[r]), pa.array(v[r]), pa.array(bound[np.repeat(np.arange(b.num_rows), n)[r]])], ["q", "u", "low"])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pool = _Pool(ef)
             for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    b = batch.slice(at, 2000)
-                    q, low, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _block(b.column(2), dim)
-                    ids = b.column(3).flatten().to_numpy()
-                    own = np.repeat(np.arange(b.num_rows), np.diff(b.column(3).offsets.to_numpy()))
-                    offs = np.frombuffer(b.column(4).buffers()[1], np.int32)[b.column(4).offset : b.column(4).offset + b.num_rows + 1]
-                    m = np.frombuffer(b.column(4).buffers()[2], np.float32, offs[-1] // 4)[offs[0] // 4 :].reshape(-1, dim)
-                    s = np.einsum("ij,ij->i", m, x[own])
-                    ok = (s > low[own]) & (ids != q[own])
-                    if pool.add(q[own][ok], ids[ok], s[ok]):
+                for at in range(0, batch.num_rows, 20_000):
+                    b = batch.slice(at, 20_000)
+                    q, v, low, own = (b.column(i).to_numpy() for i in range(4))
+                    s = np.einsum("ij,ij->i", _block(b.column(4), dim), _block(b.column(5), dim))
+                    ok = (s > low) & (v != own)
+                    if pool.add(q[ok], v[ok], s[ok]):
                         yield pool.rows()
             yield pool.rows()
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 q, v, s, f = _flat(b)
-                r = np.flatnonzero(f)
-                at = _runs(q[r])
-                rank = np.arange(len(r)) - np.repeat(at[:-1], np.diff(at)) if len(r) else r
                 f = f.copy()
-                f[r[rank < expand]] = False
+                f[_next(q, f, expand)] = False
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s), pa.array(f)], ["u", "v", "s", "fresh"])
 
-        visits = beam.mapInArrow(visit, "q long, u long, low float").join(query, "q")
-        found = visits.join(near, "u").select("q", "low", "qv", "near", "block").mapInArrow(compare, "u long, v long, s float")
+        met = beam.mapInArrow(visit, "q long, u long, low float").join(near, "u").select("q", F.explode("ids").alias("v"), "low").groupBy("q", "v").agg(F.max("low").alias("low"))
+        pairs = met.join(vec.select(F.col("id").alias("v"), F.col("v").alias("x")), "v").join(queries.select("q", "own", F.col("v").alias("y")), "q")
+        found = pairs.select("q", "v", "low", "own", "x", "y").mapInArrow(compare, "u long, v long, s float")
         marked = beam.mapInArrow(mark, "u long, v long, s float, fresh boolean")
-        beam = written(_merge(marked.unionByName(found.withColumn("fresh", F.lit(True))), ef)).select(F.col("u").alias("q"), "ids", "sims", F.col("fresh").alias("open"))
+        beam = written(_merge(marked.unionByName(found.withColumn("fresh", F.lit(True))), ef)).select(F.col("u").alias("q"), "ids", "sims", "fresh")
         _release(beam)
-        if not beam.where(F.exists(F.slice("open", 1, 12), lambda x: x)).limit(1).count():
-            break
-    return beam.select("q", "ids", "sims")
+        left = beam.where(F.exists("fresh", lambda x: x)).count()
+        told(f"search step {step}: {left} beams are open")
+        if not left:
+            return beam
+
+
+def _next(q: np.ndarray, f: np.ndarray, expand: int) -> np.ndarray:
+    """Positions of the first `expand` fresh rows of each q; rows of a q go by falling similarity."""
+    r = np.flatnonzero(f)
+    at = _runs(q[r])
+    rank = np.arange(len(r)) - np.repeat(at[:-1], np.diff(at)) if len(r) else r
+    return r[rank < expand]
+
 
+def nearest(df: DataFrame, k: int = 10, degree: int = 40, ef: int = 192, id_col: str = "vec_id", vec_col: str = "embedding", queries: DataFrame | None = None, told: Callable[[str], None] = lambda _: None) -> DataFrame:
+    """(id, rank, neighbour, similarity): for every query its k nearest rows of df by cosine, rank from 1.
 
-def nearest(df: DataFrame, k: int = 10, degree: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", told: Callable[[str], None] = lambda _: None) -> DataFrame:
-    """(id, rank, neighbour, similarity): for every row as a query its k nearest others by cosine, rank from 1.
+    queries has the columns id_col and vec_col and defaults to all rows of df;
+    a row of the query's own id is never its neighbour. The graph links every
+    row to `degree` others; a search holds the max(ef, 2 k) best, and goes on
+    until all of them have been visited.
 
     Similarity falls with rank, ties go by the lower id, and is rounded to six
-    places. Null ids and vectors that are null, of another length than most,
-    zero, or with null or infinite values are left out; of rows with one id
-    that of the least vector counts. Equal vectors are neighbours of similarity 1. Fewer than k others
-    give fewer rows, an empty table none. Other columns are ignored.
+    places. Ids may be of any type that can be compared. Null ids and vectors
+    that are null, of another length than most, zero, or with null or infinite
+    values are left out; of rows with one id that of the least vector counts.
+    Equal vectors are neighbours of similarity 1. Fewer than k others give
+    fewer rows, an empty table none. Other columns are ignored.
     """
     sized = df.where(F.col(vec_col).isNotNull()).groupBy(F.size(vec_col).alias("n")).count().orderBy(F.desc("count"), "n").first()
     kind = df.schema[id_col].dataType.simpleString()
     empty = df.sparkSession.createDataFrame([], f"{id_col} {kind}, rank int, neighbour {kind}, similarity double")
     if sized is None or not sized["n"]:
         return empty
-    dim = sized["n"]
-    vec = written(vectors(df, id_col, vec_col, dim))
-    graph = descend(vec, max(degree, 2 * k), dim=dim, told=told)
-    beams = graph.join(vec, F.col("u") == F.col("id")).select(F.col("u").alias("q"), "v", "ids", "sims")
-    found = search(vec, graph, beams, dim, max(degree, 2 * k))
+    dim, ef = sized["n"], max(ef, 2 * k)
+    base = written(vectors(df, id_col, vec_col, dim))
+    vec = base.select(F.col("n").alias("id"), "v")
+    asked = base if queries is None else written(vectors(queries, id_col, vec_col, dim))
+    own = base.select("id", F.col("n").alias("own"))
+    query = written(asked.join(own, "id", "left").select(F.col("n").alias("q"), F.coalesce("own", F.lit(-1)).alias("own"), "v"))
+    graph = descend(vec, max(degree, k), dim=dim, told=told)
+    found = search(vec, graph, query, dim, ef, told=told)
     # the beam's similarities are off by what 32-bit floats round at most; whatever else of the beam may be among the k after rounding is compared too
     off = F.lit(1e-6 + 2.4e-7 * dim)
     kth = F.get("sims", F.least(F.lit(k), F.size("sims")) - 1)
     pair = found.withColumn("_low", kth - off).select("q", F.explode(F.slice("ids", F.lit(1), F.size(F.filter("sims", lambda s: s >= F.col("_low"))))).alias("n"))
-    exact = df.select(F.col(id_col).cast("long").alias("_i"), F.col(vec_col).cast("array<double>").alias("_x")).where(F.size("_x") == dim).join(vec.select(F.col("id").alias("_i")), "_i", "left_semi").groupBy("_i").agg(F.min("_x").alias("_x"))
-    unit = written(exact.withColumn("_n", F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x))).select("_i", F.transform("_x", lambda x: F.try_divide(x, F.col("_n"))).alias("_x")))
-    a, b = unit.toDF("q", "x"), unit.toDF("n", "y")
+    unit = F.transform("x", lambda x: x / F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, y: a + y * y)))
+    a, b = asked.select(F.col("n").alias("q"), F.col("id").alias("_q"), unit.alias("x")), base.select("n", F.col("id").alias("_n"), unit.alias("y"))
     dot = F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    sim = pair.join(a, "q").join(b, "n").select("q", "n", (F.round(dot, 6) + 0.0).alias("similarity"))
-    w = Window.partitionBy("q").orderBy(F.desc("similarity"), "n")
+    sim = pair.join(a, "q").join(b, "n").select("_q", "_n", (F.round(dot, 6) + 0.0).alias("similarity"))
+    w = Window.partitionBy("_q").orderBy(F.desc("similarity"), "_n")
     ranked = sim.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").cast(kind).alias(id_col), "rank", F.col("n").cast(kind).alias("neighbour"), "similarity")
+    return ranked.select(F.col("_q").alias(id_col), "rank", F.col("_n").alias("neighbour"), "similarity")
