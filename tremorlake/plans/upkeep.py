@@ -160,14 +160,14 @@ def layer_rules(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "documents").select("doc_id", F.array_join(X.layers_to_chunk_types(l), ",").alias("kinds"), R.primary_chunk(l).alias("prim"), F.array_join(X.coherent_layers(c, l), ",").alias("layers"))
 
 
-@query("SELECT event_id, epoch_us(ts) AS us, ts >= TIMESTAMP '2024-01-15' AS late FROM events WHERE event_id % 4 < 3 UNION ALL SELECT event_id, -1, NULL FROM events WHERE event_id % 4 = 3")
+@query("SELECT event_id, epoch_us(ts) AS us, ts >= TIMESTAMP '2024-01-15' AS late FROM events WHERE event_id % 4 < 3 UNION ALL SELECT event_id, -1, false FROM events WHERE event_id % 4 = 3")
 def instants(spark: SparkSession, d: str) -> DataFrame:
     """Times written with Z, with an offset and without a zone, read again; other text is null."""
     iso = lambda ts, f: F.date_format(ts, f)
     ts = F.col("ts")
     written_ = F.when(F.col("event_id") % 4 == 0, F.concat(iso(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).when(F.col("event_id") % 4 == 1, F.concat(iso(ts + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00"))).when(F.col("event_id") % 4 == 2, iso(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise("yesterday")
     at = X.instant(written_)
-    return fx.table(spark, d, "events").select("event_id", F.coalesce(F.unix_micros(at), F.lit(-1)).alias("us"), (at >= F.lit("2024-01-15T00:00:00+00:00").cast("timestamp")).alias("late"))
+    return fx.table(spark, d, "events").select("event_id", F.coalesce(F.unix_micros(at), F.lit(-1)).alias("us"), F.coalesce(at >= F.lit("2024-01-15T00:00:00+00:00").cast("timestamp"), F.lit(False)).alias("late"))
 
 
 @query("""SELECT doc_id, substr(sha256('{"a":"' || source || '","b":"' || lang || '"}'), 1, 16) AS hash FROM documents""")
