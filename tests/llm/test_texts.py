@@ -124,6 +124,22 @@ def test_line_dedup_nasty(nasty, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_split_texts_count_as_whole_ones(spark, small, name):
+    path = os.path.join(os.path.dirname(TOK), name)
+    d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    r = random.Random(2)
+    odd = spark.createDataFrame([(-i - 1, "".join(r.choice(["ab", " ", "  ", "\n", "é", "漢", "9", ",", " x"]) for _ in range(400))) for i in range(50)], "doc_id long, text string")
+    d = d.unionByName(odd)
+    assert sorted(token_counts.token_counts(d, path, split_chars=40).collect()) == sorted(token_counts.token_counts(d, path).collect())
+
+
+def test_chat_time_is_linear_in_conflicts():
+    turns = [("u", f"<|im_end|> {i}") for i in range(4000)]
+    text, n = chat.fit(turns)
+    assert n == 4000 and chat.parse(text) == turns
+
+
 def brute_two_fit(sizes, cap):
     left, bins = sorted(sizes, reverse=True), []
     while left:

@@ -60,9 +60,19 @@ def parse(text: str) -> list[Turn]:
     return turns if at == len(text) else [*turns, (None, None)]
 
 
+def conflicts(turn: Turn) -> bool:
+    """Whether a turn as it is reads differently when parsed."""
+    role, text = turn
+    return any(s is not None and (START in s or END in s or s == NULL or _ESCAPED.search(s)) for s in turn) or role is not None and ("\n" in role or LINE in role)
+
+
 def fit(turns: list[Turn]) -> tuple[str, int]:
-    """(text, turns escaped): the rendering whose parse gives back the turns, with as few escaped as the first difference asks for."""
-    escaped: set[int] = set()
+    """(text, turns escaped): the rendering whose parse gives back the turns, with as few escaped as that asks for.
+
+    All turns that hold a conflict are escaped at once; the parse then proves
+    it, or shows the next one to escape.
+    """
+    escaped = {i for i, t in enumerate(turns) if conflicts(t)}
     while True:
         text = render(turns, escaped)
         got = parse(text)
@@ -78,6 +88,20 @@ def fit(turns: list[Turn]) -> tuple[str, int]:
         escaped.add(i)
 
 
+def _cut(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of conversations of about `most` bytes, a longer one alone."""
+    for b in batches:
+        at, size = 0, 0
+        bytes_ = [sum(len(t or "") for t in x) for x in b.column(2).to_pylist()] if b.nbytes > most else [0] * b.num_rows
+        for i, n in enumerate(bytes_):
+            if size and size + n > most:
+                yield b.slice(at, i - at)
+                at, size = i, 0
+            size += n
+        if b.num_rows:
+            yield b.slice(at)
+
+
 def chat_format(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(id, n_turns, n_escaped, rendered) of every conversation; parse(rendered) gives back its roles and texts.
 
@@ -91,7 +115,7 @@ def chat_format(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     schema = StructType().add("_id", flat.schema["_id"].dataType).add("n_turns", LongType()).add("n_escaped", LongType()).add("rendered", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _cut(batches):
             out = [fit(list(zip(r, x))) for r, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             n = [len(r) for r in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([e for _, e in out], pa.int64()), pa.array([t for t, _ in out], pa.string())], schema.names)

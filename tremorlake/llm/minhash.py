@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructType
 
 from .kernel import by_bytes, combine, mix, ngrams, raw, words
-from .shared import folder, written
+from .shared import folder, forget, written
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +106,8 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, tau: float) -> DataFrame:
     two sets. Large groups are salted over tasks.
     """
     kind = docs.schema["_id"].dataType
-    salted = pairs.withColumn("_s", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), (F.count("*").over(_w("a")) / 1000).cast("int"))))
+    many = pairs.groupBy("a").agg((F.count("*") / 1000).cast("int").alias("_k")).where("_k > 1")
+    salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("_k", F.lit(1))).alias("_s"))
     ends = written(salted.select("a", "_s", "b", F.col("b").alias("_id")).union(salted.select("a", "_s", F.lit(None).cast(kind), F.col("a")).distinct()))
     path, bits = _filter(ends.select("_id").distinct())
     hashes = [F.pmod(F.xxhash64(F.lit(k), "_id"), F.lit(bits)).alias(f"_h{k}") for k in range(4)]
@@ -159,22 +160,21 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, tau: float) -> DataFrame:
     return stream.mapInArrow(compare, schema)
 
 
-def _w(*by):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by)
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(_id, group): the least id of the connected component of each id in edges (a, b), by alternating large and small stars."""
+    """(_id, group): the least id of the connected component of each id in edges (a, b), by alternating large and small stars.
+
+    Least neighbours are aggregated before they are shuffled and joined back,
+    so that the centre of a huge star is one row, and no task holds its leaves.
+    """
     e = written(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     last = None
     while True:
         both = e.union(e.select("v", "u"))
-        low = both.withColumn("m", F.least(F.min("v").over(_w("u")), F.col("u")))
-        large = low.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", F.min("v").over(_w("u")))
-        e = written(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).where("u <> v").distinct())
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        old, e = e, written(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).where("u <> v").distinct())
+        forget(old, large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, tau: float = 0.5, shingle: int = 3, t: int
     equal sets are one candidate. In each bucket all are compared with the
     bucket's least id; then every pair of the bucket that is not in one group
     by then is compared too, so the groups are those of comparing every pair.
-    Nothing is capped. Texts without a word, nulls among them, are nobody's
+    Nothing is capped; a pair of similarity s is a candidate with probability
+    1 - (1 - s^r)^(t / r), 0.87 at s = 0.5 and 0.9999 at 0.7. Texts without a word, nulls among them, are nobody's
     duplicate. Null ids are left out. Ids should be
     unique: rows of one id are one document, which has the shingles of any of
     them. Other columns are ignored.
@@ -200,14 +201,18 @@ def near_duplicates(docs: DataFrame, tau: float = 0.5, shingle: int = 3, t: int
     sk = written(sketches(slim, shingle, t, r))
     # one candidate for each set of shingles
     rep = sk.groupBy("s1", "s2").agg(F.min(F.struct("_id", "bands")).alias("x"), F.count("*").alias("n"))
-    rep = rep.select(F.col("x._id").alias("_id"), F.col("x.bands").alias("bands"))
-    copies = sk.select("_id", "s1", "s2").withColumn("a", F.min("_id").over(_w("s1", "s2"))).where("a <> _id").select("a", F.col("_id").alias("b"))
-    buckets = written(rep.select("_id", F.explode("bands").alias("k")).groupBy("k").agg(F.collect_set("_id").alias("ids")).where(F.size("ids") > 1).select("k", F.array_sort("ids").alias("ids")))
-    star = buckets.select(F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, 2**31 - 1)).alias("b")).distinct()
+    rep = written(rep.select("s1", "s2", "n", F.col("x._id").alias("_id"), F.col("x.bands").alias("bands")))
+    several = rep.where("n > 1").select("s1", "s2", F.col("_id").alias("a"))
+    copies = sk.select("_id", "s1", "s2").join(several, ["s1", "s2"]).where("a <> _id").select("a", F.col("_id").alias("b"))
+    # a bucket's least id is aggregated before the shuffle; its members stay rows
+    placed = rep.select("_id", F.explode("bands").alias("k"))
+    shared = placed.groupBy("k").agg(F.min("_id").alias("a"), F.max("_id").alias("z")).where("a <> z").select("k", "a")
+    buckets = written(placed.join(shared, "k"))
+    star = buckets.where("_id <> a").select("a", F.col("_id").alias("b")).distinct()
     one = written(verify(slim, star, shingle, tau))
     group = written(components(one.where("same")))
     # pairs of a bucket that aren't in one group yet and weren't compared
-    member = buckets.select("k", F.explode("ids").alias("_id")).join(group, "_id", "left").select("k", "_id", F.coalesce("group", "_id").alias("g"))
+    member = buckets.select("k", "_id").join(group, "_id", "left").select("k", "_id", F.coalesce("group", "_id").alias("g"))
     mixed = member.groupBy("k").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("k")
     member = written(member.join(mixed, "k", "left_semi"))
     l, m = member.alias("l"), member.alias("m")
@@ -215,7 +220,8 @@ def near_duplicates(docs: DataFrame, tau: float = 0.5, shingle: int = 3, t: int
     two = verify(slim, written(rest), shingle, tau)
     edges = one.where("same").select("a", "b").union(two.where("same").select("a", "b")).union(copies)
     found = written(components(edges).distinct())
-    return found.select(F.col("_id").alias(id_col), F.col("group").alias("group_id"), F.count("*").over(_w("group")).alias("group_size"))
+    size = found.groupBy("group").agg(F.count("*").alias("group_size"))
+    return found.join(size, "group").select(F.col("_id").alias(id_col), F.col("group").alias("group_id"), "group_size")
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:

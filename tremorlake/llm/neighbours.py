@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .kernel import combine, mix
-from .shared import written
+from .shared import forget, written
 
 
 def _release(df: DataFrame) -> None:
@@ -250,7 +250,8 @@ def descend(vec: DataFrame, k: int = 32, sample: int = 12, delta: float = 0.01,
         drawn = graph.mapInArrow(edges, "w long, a long, f boolean, back boolean").repartition("w").sortWithinPartitions("w").mapInArrow(thin, "w long, a long, f boolean")
         met = drawn.join(member, "a").select("w", "a", "f", "low", "v").repartition("w").sortWithinPartitions("w").mapInArrow(local, "u long, v long, s float")
         kept = graph.mapInArrow(old, "u long, v long, s float, fresh boolean")
-        graph = written(_merge(kept.unionByName(met.withColumn("fresh", F.lit(True))), k))
+        before, graph = graph, written(_merge(kept.unionByName(met.withColumn("fresh", F.lit(True))), k))
+        forget(before)
         _release(graph)
         fresh, every = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("ids"))).first()
         told(f"step {step}: {fresh} of {every} edges are fresh")
@@ -327,7 +328,8 @@ def search(vec: DataFrame, graph: DataFrame, queries: DataFrame, dim: int, ef: i
         pairs = met.join(vec.select(F.col("id").alias("v"), F.col("v").alias("x")), "v").join(queries.select("q", "own", F.col("v").alias("y")), "q")
         found = pairs.select("q", "v", "low", "own", "x", "y").mapInArrow(compare, "u long, v long, s float")
         marked = beam.mapInArrow(mark, "u long, v long, s float, fresh boolean")
-        beam = written(_merge(marked.unionByName(found.withColumn("fresh", F.lit(True))), ef)).select(F.col("u").alias("q"), "ids", "sims", "fresh")
+        before, beam = beam, written(_merge(marked.unionByName(found.withColumn("fresh", F.lit(True))), ef).withColumnRenamed("u", "q"))
+        forget(before)
         _release(beam)
         left = beam.where(F.exists("fresh", lambda x: x)).count()
         told(f"search step {step}: {left} beams are open")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir. Where that is unset, as in tests, a local folder is set and used."""
+    """A new path below spark.checkpoint.dir. Where that is unset, as in tests, a local folder is set and used; on a cluster that fails."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc = spark.sparkContext
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="tremorlake-"))
@@ -23,7 +25,15 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts lineage and outlives executors."""
     path = folder(df.sparkSession)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for t in tables:
+        drop(t.sparkSession, t._written)
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -17,15 +17,19 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _CUT = re.compile(r"(?<=\w)(?= \w)")
 
 
-def pieces(text: str, most: int) -> list[str]:
-    """text in parts of about `most` characters, cut only where no token can span; a text without such a place stays whole."""
+def pieces(text: str, most: int, space: bool = True) -> list[str]:
+    """text in parts of about `most` characters, cut only where no token can span; a text without such a place stays whole.
+
+    A part keeps the space that it begins with, or not (space), where the
+    tokenizer puts one before every text itself.
+    """
     out, at = [], 0
     while len(text) - at > most:
         cut = _CUT.search(text, at + most)
         if not cut:
             break
         out.append(text[at : cut.start()])
-        at = cut.start()
+        at = cut.start() + (not space)
     return [*out, text[at:]]
 
 
@@ -53,6 +57,8 @@ def encoder(path: str) -> Callable[[list[str]], list[int]]:
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
+            if any("\u2581" in sp.id_to_piece(i).lstrip("\u2581") for i in range(sp.get_piece_size())):
+                raise ValueError(f"{path} has pieces that span words, so long texts can't be split")
             _encoders[path] = lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
     return _encoders[path]
 
@@ -62,11 +68,11 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     Rows are encoded in the partition where they are read, in batches of about
     batch_bytes of text; longer texts are split at boundaries that no token
-    spans (not for sentencepiece, whose pieces depend on what comes before).
-    Null text gives null, empty text 0. Repeated rows are counted each for
-    itself; other columns are ignored, whatever their names.
+    spans, before a single space between words. Null text gives null, empty
+    text 0. Null ids stay null. Repeated rows are counted each for itself;
+    other columns are ignored, whatever their names.
     """
-    whole = tokenizer.endswith(".model")
+    space = not tokenizer.endswith(".model")
     kind = docs.schema[id_col].dataType
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +81,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             texts = b.column(1).to_pylist()
             parts, owner = [], []
             for i, t in enumerate(texts):
-                for p in [t] if whole or t is None or len(t) <= split_chars else pieces(t, split_chars):
+                for p in [t] if t is None or len(t) <= split_chars else pieces(t, split_chars, space):
                     if p:
                         parts.append(p)
                         owner.append(i)
