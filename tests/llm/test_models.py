@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import SCHEMA, prose, row
-from tremorlake.llm import katz, kernel, minhash, neighbours, quality
+from tremorlake.llm import kernel, minhash, neighbours, quality
 
 
 def word_list(t):
@@ -175,78 +175,6 @@ def test_classifier_nasty(spark, nasty, empty):
     assert quality.classify(empty, l).count() == 0 and quality.classify(empty, l.limit(0)).count() == 0
 
 
-# Katz
-def brute_katz(texts, order, tests):
-    data = [([256] * (order - 1)) + list((t or "").encode()) + [256] for t in texts]
-    c = {k: Counter() for k in range(1, order + 1)}
-    for s in data:
-        for i in range(order - 1, len(s)):
-            for k in range(1, order + 1):
-                c[k][tuple(s[i - k + 1 : i + 1])] += 1
-    p, alpha = {}, {}
-    for k in range(1, order + 1):
-        n = Counter(c[k].values())
-        top = 6 * n[6] / n[1] if n[1] else 1.0
-        d = {}
-        for r in range(1, 6):
-            if n[r] and n[r + 1] and top < 1:
-                x = ((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top)
-                if 0 < x < 1:
-                    d[r] = x
-        ctx = defaultdict(list)
-        for g, m in c[k].items():
-            ctx[g[:-1]].append((g, m))
-        for h, gs in ctx.items():
-            tot, disc = sum(m for _, m in gs), sum(m * d.get(m, 1.0) for _, m in gs)
-            if len(gs) == 257:
-                scale, a = tot / disc, 0.0
-            else:
-                scale = tot / (tot + 1) if all(d.get(m, 1.0) == 1.0 for _, m in gs) else 1.0
-                low = sum(p[g[1:]] if k > 1 else 1 / 257 for g, _ in gs)
-                a = (1 - scale * disc / tot) / max(1 - low, 1e-12)
-            alpha[h] = a
-            for g, m in gs:
-                p[g] = scale * d.get(m, 1.0) * m / tot
-
-    def prob(g):
-        if g in p:
-            return p[g]
-        if len(g) == 1:
-            return alpha[()] / 257
-        return alpha.get(g[:-1], 1.0) * prob(g[1:])
-
-    out = []
-    for t in tests:
-        s = [256] * (order - 1) + list((t or "").encode()) + [256]
-        out.append(sum(math.log(prob(tuple(s[i - order + 1 : i + 1]))) for i in range(order - 1, len(s))))
-    return out
-
-
-@pytest.mark.parametrize("order", [1, 3, 5])
-def test_katz_equals_brute_force_and_is_normalised(spark, order):
-    train = [prose(i, 40, 25) for i in range(25)] + ["", None, "é漢"]
-    tests = ["w1 w2", "zzz 漢 Q", "", None, prose(2, 40, 25)]
-    path = katz.train(spark.createDataFrame([(t,) for t in train], "_text string"), order)
-    d = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(tests)], "doc_id long, text string, key string, p string")
-    want = brute_katz(train, order, tests)
-    for f in (katz.score, katz.score_joined):
-        got = [r.log_prob for r in sorted(f(d, path, order).collect(), key=lambda r: r.doc_id)]
-        assert np.allclose(got, want, rtol=1e-9)
-    m = katz.Model(path, order)
-    for h in ([256] * (order - 1), [119] * (order - 1), [1] * (order - 1)):
-        ctx = 0
-        for x in h:
-            ctx = ctx << 9 | x
-        assert abs(np.exp(m.log_p(np.array([ctx << 9 | w for w in range(257)], np.uint64))).sum() - 1) < 1e-9
-
-
-def test_katz_nasty(nasty, empty):
-    got = katz.katz(nasty, 4)
-    by = {r.doc_id: r for r in got.collect()}
-    assert got.count() == nasty.count() and by[3].n_tokens == by[4].n_tokens == 1 and by[5].n_tokens > 200_000
-    assert katz.katz(empty).count() == 0
-
-
 # Nearest neighbours
 def recall(df, k=10, **how):
     p = df.select("vec_id", "embedding").toPandas()

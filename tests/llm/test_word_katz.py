@@ -8,7 +8,7 @@ import pytest
 
 from tests.llm.conftest import prose
 from tests.llm.test_models import toks
-from tremorlake.llm import queries, word_katz
+from tremorlake.llm import queries, shard_katz, word_katz
 
 
 def brute(texts, order, tests):
@@ -70,3 +70,36 @@ def test_nasty(nasty, empty):
     assert len(got) == nasty.count() and by[3].n_tokens == by[4].n_tokens == 1 and by[5].n_tokens == 60_001
     assert sum(r.doc_id == 9 for r in got) == 2 and sum(r.doc_id is None for r in got) == 2
     assert word_katz.word_katz(empty).count() == 0
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("grams", [40, 400, 1_000_000])
+def test_shards_equal_brute_force(spark, order, grams):
+    """With few occurrences a shard, frequent middle words are split."""
+    train = [prose(i, 40, 25) + "." for i in range(25)] + ["", None, "é漢 Hello, world!"]
+    tests = ["w1 w2", "zzz 漢 Q w1 w2 w3 zzz zzz", "", None, prose(2, 40, 25)]
+    rows = lambda texts: spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, w1 string, p string")
+    model = shard_katz.train(rows(train).selectExpr("doc_id _id", "text _text"), order, grams)
+    assert model[0].shards > 3 or grams > 40
+    for texts, got in ((tests, shard_katz.score(rows(tests), model)), (train, shard_katz.score(rows(train), model, seen=f"{model[1]}/seen"))):
+        got, want = sorted(got.collect(), key=lambda r: r.doc_id), brute(train, order, texts)
+        assert [r.n_tokens for r in got] == [n for n, _ in want] and np.allclose([r.log_prob for r in got], [s for _, s in want], rtol=1e-9)
+
+
+def test_packed_occurrences_come_back():
+    r = np.random.default_rng(3)
+    words = r.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2)
+    codes = shard_katz.Codes(words[:200])
+    for n in (0, 1, 7, 5000):
+        u, v, w = (words[r.integers(0, k, n)] for k in (500, 60, 500))
+        doc = r.integers(0, 70_000, n)
+        got = codes.unpack(codes.pack(u, v, w, doc))
+        assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(u.tolist(), v.tolist(), w.tolist(), doc.tolist()))
+
+
+def test_shards_nasty(nasty, empty):
+    got = shard_katz.word_katz(nasty, shard_grams=5000).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == nasty.count() and by[3].n_tokens == by[4].n_tokens == 1 and by[5].n_tokens == 60_001
+    assert sum(r.doc_id == 9 for r in got) == 2 and sum(r.doc_id is None for r in got) == 2
+    assert shard_katz.word_katz(empty).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, licences, line_dedup, minhash, neighbours, packing, quality, token_counts, word_katz
+from . import chat, decontaminate, licences, line_dedup, minhash, neighbours, packing, quality, shard_katz, token_counts
 
 TOKENIZER = os.environ.get("TREMORLAKE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
@@ -51,7 +51,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_katz.word_katz(table(spark, sf_dir, "documents"))
+    return shard_katz.word_katz(table(spark, sf_dir, "documents"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""LM scoring: Katz backoff over words with Good-Turing discounts and exactly normalised backoff weights, by joins.
+"""Katz backoff over words of any order by plain joins of rows: the simple form of shard_katz, which the query uses.
 
 A token is a case-sensitive word or run of punctuation, by its 64-bit hash, or
 the end mark; contexts at the start of a text hold start marks. The tables grow
@@ -15,29 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .katz import turing
 from .kernel import by_bytes, combine, raw, tokens
+from .shard_katz import grams, ratios
 from .shared import folder, written
 
-_EDGE = np.uint64(0x1234567)
-
 
 def names(order: int) -> list[str]:
     return [f"w{i}" for i in range(1, order + 1)]
 
 
-def grams(h: np.ndarray, first: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(words, first): the n-gram that ends at each token and at each end mark, as one array for each of its places."""
-    rows, lead = len(first) - 1, order - 1
-    seq = np.full(len(h) + order * rows, _EDGE, np.uint64)
-    seq[np.arange(len(h)) + order * np.repeat(np.arange(rows), np.diff(first)) + lead] = h
-    real = np.ones(len(seq), bool)
-    for k in range(lead):
-        real[(first + order * np.arange(rows + 1))[:-1] + k] = False
-    at = np.flatnonzero(real)
-    return [seq[at - lead + k] for k in range(order)], first + np.arange(rows + 1)
-
-
 def _distinct(w: list[np.ndarray], row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position, count) of the distinct n-grams of each row; row is ascending."""
     key = w[0]
@@ -83,7 +69,8 @@ def train(docs: DataFrame, order: int = 3) -> str:
     for k in range(1, order + 1):
         w, ctx = names(k), names(k - 1)
         d = F.lit(1.0)
-        for r, v in turing(table[k]).items():
+        few = {r[0]: r[1] for r in table[k].where("c <= 6").groupBy("c").count().collect()}
+        for r, v in ratios(few).items():
             d = F.when(F.col("c") == r, F.lit(v)).otherwise(d)
         x = table[k].select(*w, F.col("c").cast("double").alias("c"), d.alias("d"))
         if lower is None:
