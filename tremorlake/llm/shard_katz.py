@@ -76,7 +76,7 @@ class Codes:
         (uc, _), (wc, _) = self.split(u), self.split(w)
         o = np.lexsort((wc, uc, v))
         u, v, w, uc, wc, doc = u[o], v[o], w[o], uc[o], wc[o], doc[o].astype(np.uint32)
-        start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])[: len(v)])
         vc, ve = self.split(v[start])
         step = np.diff(uc, prepend=np.uint16(0))
         parts = [_planes(vc), ve.tobytes(), _planes(np.diff(np.append(start, len(v))).astype(np.uint32)), _planes(step), u[uc == 0].tobytes(), _planes(wc), w[wc == 0].tobytes(), _planes(doc)]
@@ -105,7 +105,7 @@ class Plan:
         self.parts = np.array([hot[int(np.uint64(k).view(np.int64))] for k in self.hot.keys], np.uint64)
         self.discount: dict[int, dict[int, float]] = {}
         self.p1 = np.zeros(len(self.codes.lookup.keys))
-        self.scale1 = self.alpha0 = self.unseen = 1.0
+        self.scale1 = self.alpha0 = self.unseen = self.once = 1.0
 
     def shard(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         h = mix(v)
@@ -122,7 +122,7 @@ class Plan:
         return table[np.minimum(c, 6)]
 
 
-def occurrences(docs: DataFrame, plan: Plan, path: str, rounds: int = 2, most: int = 1 << 20) -> None:
+def occurrences(docs: DataFrame, plan: Plan, path: str, rounds: int = 3, most: int = 1 << 20) -> None:
     """Writes the packed occurrences of rows (_id, _text) by shard, and with negative shards (_id, _row).
 
     In rounds by hash of the id, so that what is shuffled at a time is a part
@@ -250,10 +250,10 @@ class Shard:
         return np.repeat(scale / n, size) * d * c, (1 - scale * dn / n) / np.maximum(1 - q, 1e-12), start
 
     def single(self, w: np.ndarray) -> np.ndarray:
-        """Probabilities of words that the shard has; NaN where it wasn't given one."""
+        """Probabilities of words that the shard has; it wasn't given those of words seen once, which are all alike."""
         i = self.plan.codes.lookup.find(w)
         j = self.rare[0].find(w)
-        return np.where(i >= 0, self.plan.p1[i] if len(self.plan.p1) else 0.0, np.where(j >= 0, self.rare[1][j] if len(self.rare[1]) else 0.0, np.nan))
+        return np.where(i >= 0, self.plan.p1[i] if len(self.plan.p1) else 0.0, np.where(j >= 0, self.rare[1][j] if len(self.rare[1]) else 0.0, self.plan.once))
 
     def log_p(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log weight or probability, what is still to be multiplied with it: 0 nothing, 1 the word's own probability, 2 that of the bigram, as its split word has it in other shards too)."""
@@ -316,12 +316,13 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("_text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, order: int = 3, shard_grams: int = 1_500_000) -> tuple[Plan, str]:
+def train(docs: DataFrame, order: int = 3, shard_grams: int = 1_500_000, rounds: int = 3) -> tuple[Plan, str]:
     """The model of all rows (_id, _text), of order 1 to 3: what tasks share, and the folder of its tables.
 
     shard_grams is how many occurrences a task should hold; a middle word of
-    more is split. The vocabulary is all words of the rows, the end mark, and
-    one symbol for whatever else. Where no count of a context is discounted, one
+    more is split. What is shuffled goes in `rounds` parts, one after the other.
+    The vocabulary is all words of the rows, the end mark, and one symbol for
+    whatever else. Where no count of a context is discounted, one
     unit of count is left to what it hasn't been followed by, so every backoff
     weight is positive; the probabilities of each context sum to one exactly.
     """
@@ -340,7 +341,7 @@ def train(docs: DataFrame, order: int = 3, shard_grams: int = 1_500_000) -> tupl
     if starts > shard_grams // 2:
         hot[int(_EDGE)] = -(-2 * starts // shard_grams)
     plan = Plan(order, max(1, -(-total // shard_grams)), np.array([r["w"] for r in top], np.int64).view(np.uint64), hot if order > 2 else {})
-    occurrences(docs, plan, f"{path}/seen")
+    occurrences(docs, plan, f"{path}/seen", rounds)
 
     def count(s: int) -> Iterator[pa.RecordBatch]:
         u, v, w, _ = _occurrences(plan, f"{path}/seen", s)
@@ -389,6 +390,7 @@ def train(docs: DataFrame, order: int = 3, shard_grams: int = 1_500_000) -> tupl
         plan.alpha0 = (1 - plan.scale1 * h["dn"] / total) / max(1 - n_words * plan.unseen, 1e-12)
     p1 = words.select("w", (F.lit(plan.scale1 / max(total, 1)) * less(1) * F.col("c")).alias("p"))
     kept(p1, "single")
+    plan.once = plan.scale1 / max(total, 1) * float(plan.ratio(1, np.array([1]))[0])
     by = np.array([r["w"] for r in top], np.int64).view(np.uint64)
     c = np.array([r["c"] for r in top], np.int64)
     order_ = np.argsort(by)
@@ -399,9 +401,15 @@ def train(docs: DataFrame, order: int = 3, shard_grams: int = 1_500_000) -> tupl
     scale = F.when(F.col("nd") == 1.0, F.col("n") / (F.col("n") + 1)).otherwise(F.lit(1.0))
     ctx = kept(ctx.select("v", "n", scale.alias("scale"), ((1 - scale * F.col("dn") / F.col("n")) / F.greatest(1 - F.col("q"), F.lit(1e-12))).alias("alpha")), "split")
     p2 = kept(pairs.join(ctx, "v").select("v", "w", (F.col("scale") * less(2) * F.col("c") / F.col("n")).alias("p")), "pair")
-    answers = found.where("kind = 0").select("shard", "v", "w").join(p2, ["v", "w"]).select("shard", "v", "w", "p").unionByName(found.where("kind = 1").select("shard", F.lit(0).cast("long").alias("v"), "w").join(p1, "w").select("shard", "v", "w", "p"))
-    answers.repartition("shard").write.partitionBy("shard").parquet(f"{path}/given")
-    for name in ("found", "pairs"):
+    _release(spark)
+    some = words.where("c > 1").select("w", (F.lit(plan.scale1 / max(total, 1)) * less(1) * F.col("c")).alias("p"))
+    for r in range(rounds):  # so that what is shuffled at a time is a part of it
+        own = lambda df: df.where(F.pmod(F.xxhash64("w"), F.lit(rounds)) == r)  # noqa: B023, E731
+        answers = own(found.where("kind = 0")).select("shard", "v", "w").join(own(p2), ["v", "w"]).select("shard", "v", "w", "p")
+        answers = answers.unionByName(own(found.where("kind = 1")).select("shard", F.lit(0).cast("long").alias("v"), "w").join(own(some), "w").select("shard", "v", "w", "p"))
+        answers.repartition("shard").write.mode("append").partitionBy("shard").parquet(f"{path}/given")
+        _release(spark)
+    for name in ("found", "pairs", "words"):
         drop(spark, f"{path}/{name}")
     _release(spark)
     return plan, path
