@@ -44,7 +44,7 @@ def grams(h: np.ndarray, first: np.ndarray, order: int) -> tuple[list[np.ndarray
 
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of numbers, all first bytes ahead: they compress better so."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
 def _numbers(b: bytes, kind: type, n: int) -> np.ndarray:
@@ -122,7 +122,7 @@ class Plan:
         return table[np.minimum(c, 6)]
 
 
-def occurrences(docs: DataFrame, plan: Plan, path: str, rounds: int = 3, most: int = 1 << 20) -> None:
+def occurrences(docs: DataFrame, plan: Plan, path: str, rounds: int = 2, most: int = 1 << 20) -> None:
     """Writes the packed occurrences of rows (_id, _text) by shard, and with negative shards (_id, _row).
 
     In rounds by hash of the id, so that what is shuffled at a time is a part
@@ -202,8 +202,7 @@ def _unique(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Shard:
     """The probabilities and weights of a shard's n-grams."""
 
-    def __init__(self, plan: Plan, path: str, shard: int):
-        u, v, w, _ = _occurrences(plan, f"{path}/seen", shard)
+    def __init__(self, plan: Plan, path: str, shard: int, u: np.ndarray, v: np.ndarray, w: np.ndarray):
         given = _read(f"{path}/given/shard={shard}", ["v", "w", "p"])
         self.plan = plan
         one = lambda c: given[c].to_numpy() if given is not None else np.zeros(0, np.int64)
@@ -227,16 +226,20 @@ class Shard:
         i = hot[0].find(key)
         self.p2[i >= 0] = hot[1][i[i >= 0]]
         self.one = Lookup(bv[o][start]), alpha  # those of split words aren't asked for
+        del at, c, bv, low, o, p, i, pair, hot, given, gv, gw, gp, word
         if plan.order < 3:
             return
         context = combine(u, v)
         at, c, key = _unique(combine(context, w))
-        o = np.argsort(context[at], kind="stable")
-        p, alpha, start = self.level(3, context[at][o], c[o], self.p2[self.bi.find(combine(v[at], w[at]))][o])
+        context = context[at]
+        o = np.argsort(context, kind="stable")
+        context = context[o]
+        p, alpha, start = self.level(3, context, c[o], self.p2[self.bi.find(combine(v[at], w[at]))][o])
+        self.two = Lookup(context[start]), alpha
+        del context, at, c, start
         self.tri = Lookup(key)
         self.p3 = np.empty(len(key))
         self.p3[o] = p
-        self.two = Lookup(context[at][o][start]), alpha
 
     def level(self, k: int, context: np.ndarray, c: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(probability of each n-gram, backoff weight of each context, where contexts start) of n-grams in the order of their contexts; low are the probabilities one order down."""
@@ -316,7 +319,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("_text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, order: int = 3, shard_grams: int = 1_500_000, rounds: int = 3) -> tuple[Plan, str]:
+def train(docs: DataFrame, order: int = 3, shard_grams: int = 1_500_000, rounds: int = 2) -> tuple[Plan, str]:
     """The model of all rows (_id, _text), of order 1 to 3: what tasks share, and the folder of its tables.
 
     shard_grams is how many occurrences a task should hold; a middle word of
@@ -422,7 +425,7 @@ def score(docs: DataFrame, model: tuple[Plan, str], id_col: str = "doc_id", text
     are each scored; other columns are ignored.
     """
     plan, path = model
-    spark, names = docs.sparkSession, ["_row", "s", "n", "v", "w"]
+    spark, names, own = docs.sparkSession, ["_row", "s", "n", "v", "w"], f"{path}/seen"
     if seen is None:
         seen = folder(spark)
         occurrences(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), plan, seen)
@@ -431,7 +434,8 @@ def score(docs: DataFrame, model: tuple[Plan, str], id_col: str = "doc_id", text
         u, v, w, row = _occurrences(plan, seen, s)
         if not len(w):
             return
-        y, open_ = Shard(plan, path, s).log_p(u, v, w)
+        known = (u, v, w) if seen == own else _occurrences(plan, own, s)[:3]
+        y, open_ = Shard(plan, path, s, *known).log_p(u, v, w)
         o = np.argsort(row, kind="stable")
         row, y = row[o], y[o]
         start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
