@@ -73,9 +73,10 @@ def test_nasty(nasty, empty):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-@pytest.mark.parametrize("grams", [40, 400, 1_000_000])
-def test_shards_equal_brute_force(spark, order, grams):
-    """With few occurrences a shard, frequent middle words are split."""
+@pytest.mark.parametrize("grams, block", [(40, 1 << 19), (400, 1 << 19), (1_000_000, 1 << 19), (400, 37), (1_000_000, 37)])
+def test_shards_equal_brute_force(spark, monkeypatch, order, grams, block):
+    """With few occurrences a shard, frequent middle words are split; shards of many are looked at in blocks."""
+    monkeypatch.setattr(shard_katz, "BLOCK", block)
     train = [prose(i, 40, 25) + "." for i in range(25)] + ["", None, "é漢 Hello, world!"]
     tests = ["w1 w2", "zzz 漢 Q w1 w2 w3 zzz zzz", "", None, prose(2, 40, 25)]
     rows = lambda texts: spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, w1 string, p string")

@@ -14,15 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .kernel import combine, mix
-from .shared import forget, written
-
-
-def _release(df: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of what is written by now."""
-    import gc
-
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+from .shared import forget, let_go, written
 
 
 def _block(column: pa.Array, width: int) -> np.ndarray:
@@ -252,7 +244,7 @@ def descend(vec: DataFrame, k: int = 32, sample: int = 12, delta: float = 0.01,
         kept = graph.mapInArrow(old, "u long, v long, s float, fresh boolean")
         before, graph = graph, written(_merge(kept.unionByName(met.withColumn("fresh", F.lit(True))), k))
         forget(before)
-        _release(graph)
+        let_go(graph.sparkSession)
         fresh, every = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("ids"))).first()
         told(f"step {step}: {fresh} of {every} edges are fresh")
         if not every or fresh < delta * every:
@@ -330,7 +322,7 @@ def search(vec: DataFrame, graph: DataFrame, queries: DataFrame, dim: int, ef: i
         marked = beam.mapInArrow(mark, "u long, v long, s float, fresh boolean")
         before, beam = beam, written(_merge(marked.unionByName(found.withColumn("fresh", F.lit(True))), ef).withColumnRenamed("u", "q"))
         forget(before)
-        _release(beam)
+        let_go(beam.sparkSession)
         left = beam.where(F.exists("fresh", lambda x: x)).count()
         told(f"search step {step}: {left} beams are open")
         if not left:

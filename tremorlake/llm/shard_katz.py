@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
 from .kernel import Lookup, by_bytes, combine, mix, raw, release, tokens
-from .shared import drop, folder
+from .shared import drop, folder, let_go
 
 CODES = (1 << 16) - 1
+#: Occurrences of a shard that are looked at together.
+BLOCK = 1 << 19
 _EDGE = np.uint64(0x1234567)
 
 
@@ -108,11 +110,19 @@ class Plan:
         self.scale1 = self.alpha0 = self.unseen = self.once = 1.0
 
     def shard(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return (self.spread(u, v) % np.uint64(self.shards)).astype(np.int32)
+
+    def block(self, u: np.ndarray, v: np.ndarray, blocks: int) -> np.ndarray:
+        """The block of a shard that n-grams are in; what a probability needs is in one block."""
+        return (self.spread(u, v) // np.uint64(self.shards) % np.uint64(blocks)).astype(np.int32)
+
+    def spread(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Hashes by middle word, and by part where that is split."""
         h = mix(v)
         i = self.hot.find(v)
         at = np.flatnonzero(i >= 0)
         h[at] = combine(h[at], mix(u[at]) % self.parts[i[at]])
-        return (h % np.uint64(self.shards)).astype(np.int32)
+        return h
 
     def ratio(self, k: int, c: np.ndarray) -> np.ndarray:
         """Discount ratios of counts of order k."""
@@ -164,15 +174,7 @@ def occurrences(docs: DataFrame, plan: Plan, path: str, rounds: int = 2, most: i
         # numbers of different rounds must differ, those of a block be near: the round is the lowest digit of the partition's number
         part = part.withColumn("_row", F.shiftleft(F.shiftright("_row", 33) * rounds + r, 33) + F.col("_row").bitwiseAND((1 << 33) - 1))
         part.mapInArrow(run, schema).repartition("shard").write.mode("append").partitionBy("shard").parquet(path)
-        _release(docs.sparkSession)
-
-
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of what is written by now."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        let_go(docs.sparkSession)
 
 
 def _read(path: str, columns: list[str]) -> pa.Table | None:
@@ -200,10 +202,9 @@ def _unique(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Shard:
-    """The probabilities and weights of a shard's n-grams."""
+    """The probabilities and weights of the n-grams of a shard or of a block of it; given are those that it asked for."""
 
-    def __init__(self, plan: Plan, path: str, shard: int, u: np.ndarray, v: np.ndarray, w: np.ndarray):
-        given = _read(f"{path}/given/shard={shard}", ["v", "w", "p"])
+    def __init__(self, plan: Plan, given: pa.Table | None, u: np.ndarray, v: np.ndarray, w: np.ndarray):
         self.plan = plan
         one = lambda c: given[c].to_numpy() if given is not None else np.zeros(0, np.int64)
         gv, gw, gp = one("v").view(np.uint64), one("w").view(np.uint64), one("p").astype(np.float64)
@@ -404,17 +405,17 @@ def train(docs: DataFrame, order: int = 3, shard_grams: int = 1_500_000, rounds:
     scale = F.when(F.col("nd") == 1.0, F.col("n") / (F.col("n") + 1)).otherwise(F.lit(1.0))
     ctx = kept(ctx.select("v", "n", scale.alias("scale"), ((1 - scale * F.col("dn") / F.col("n")) / F.greatest(1 - F.col("q"), F.lit(1e-12))).alias("alpha")), "split")
     p2 = kept(pairs.join(ctx, "v").select("v", "w", (F.col("scale") * less(2) * F.col("c") / F.col("n")).alias("p")), "pair")
-    _release(spark)
+    let_go(spark)
     some = words.where("c > 1").select("w", (F.lit(plan.scale1 / max(total, 1)) * less(1) * F.col("c")).alias("p"))
     for r in range(rounds):  # so that what is shuffled at a time is a part of it
         own = lambda df: df.where(F.pmod(F.xxhash64("w"), F.lit(rounds)) == r)  # noqa: B023, E731
         answers = own(found.where("kind = 0")).select("shard", "v", "w").join(own(p2), ["v", "w"]).select("shard", "v", "w", "p")
         answers = answers.unionByName(own(found.where("kind = 1")).select("shard", F.lit(0).cast("long").alias("v"), "w").join(own(some), "w").select("shard", "v", "w", "p"))
         answers.repartition("shard").write.mode("append").partitionBy("shard").parquet(f"{path}/given")
-        _release(spark)
+        let_go(spark)
     for name in ("found", "pairs", "words"):
         drop(spark, f"{path}/{name}")
-    _release(spark)
+    let_go(spark)
     return plan, path
 
 
@@ -435,7 +436,15 @@ def score(docs: DataFrame, model: tuple[Plan, str], id_col: str = "doc_id", text
         if not len(w):
             return
         known = (u, v, w) if seen == own else _occurrences(plan, own, s)[:3]
-        y, open_ = Shard(plan, path, s, *known).log_p(u, v, w)
+        given = _read(f"{path}/given/shard={s}", ["v", "w", "p"])
+        y, open_ = np.zeros(len(w)), np.zeros(len(w), np.int8)
+        blocks = max(1, -(-len(known[2]) // BLOCK))
+        of, of_known = plan.block(u, v, blocks), plan.block(*known[:2], blocks)
+        for k in range(blocks):
+            at = np.flatnonzero(of == k)
+            if len(at):
+                x = np.flatnonzero(of_known == k)
+                y[at], open_[at] = Shard(plan, given, *(c[x] for c in known)).log_p(u[at], v[at], w[at])
         o = np.argsort(row, kind="stable")
         row, y = row[o], y[o]
         start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))

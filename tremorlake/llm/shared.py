@@ -40,3 +40,12 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of what is written by now."""
+    import gc
+
+    spark.range(1).count()  # the listeners hold the last execution, and so its shuffles, until the next one
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
