@@ -190,7 +190,14 @@ def _occurrences(plan: Plan, path: str, shard: int) -> tuple[np.ndarray, ...]:
     """(u, v, w, row) of a shard."""
     t = _read(f"{path}/shard={shard}", ["block", "_row"])
     parts = [(*(x := plan.codes.unpack(b.as_py()))[:3], x[3] + base.as_py()) for b, base in zip(t["block"], t["_row"])] if t is not None else []
-    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (*[np.zeros(0, np.uint64)] * 3, np.zeros(0, np.int64))
+    if not parts:
+        return (*[np.zeros(0, np.uint64)] * 3, np.zeros(0, np.int64))
+    columns = [list(x) for x in zip(*parts)]
+    del parts, t
+    out = []
+    while columns:  # each column's parts are freed before the next is put together
+        out.append(np.concatenate(columns.pop(0)))
+    return tuple(out)
 
 
 def _unique(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -445,15 +452,17 @@ def score(docs: DataFrame, model: tuple[Plan, str], id_col: str = "doc_id", text
             if len(at):
                 x = np.flatnonzero(of_known == k)
                 y[at], open_[at] = Shard(plan, given, *(c[x] for c in known)).log_p(u[at], v[at], w[at])
+        left = np.flatnonzero(open_)
+        more = pa.RecordBatch.from_arrays([pa.array(row[left]), pa.array(np.zeros(len(left))), pa.array(np.zeros(len(left), np.int64)), pa.array(v[left].view(np.int64), mask=open_[left] < 2), pa.array(w[left].view(np.int64))], names)
+        del u, v, w, known, of, of_known, open_
         o = np.argsort(row, kind="stable")
         row, y = row[o], y[o]
+        del o
         start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         n = len(start)
         yield pa.RecordBatch.from_arrays([pa.array(row[start]), pa.array(np.add.reduceat(y, start)), pa.array(np.diff(np.append(start, len(row)))), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
-        left = np.flatnonzero(open_[o])
         if len(left):
-            at = o[left]
-            yield pa.RecordBatch.from_arrays([pa.array(row[left]), pa.array(np.zeros(len(left))), pa.array(np.zeros(len(left), np.int64)), pa.array(v[at].view(np.int64), mask=open_[at] < 2), pa.array(w[at].view(np.int64))], names)
+            yield more
 
     sums, schema = folder(spark), "_row long, s double, n long, v long, w long"
     _each(spark, plan.shards, judge, schema).write.parquet(sums)
