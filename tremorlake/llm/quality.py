@@ -6,253 +6,346 @@ Kneser-Ney model, of text labelled toxic, gives each word the log ratio of its
 lowest-order probabilities; a document's toxicity is its largest. Both are
 thresholded by quantiles of trusted documents that trained neither model.
 
-The n-grams of both models are tables in the shared folder, sharded by the
-middle word of a trigram: all that the probability of a position needs, from
-the trigram down to the backoff weights, is in the shard of the word before it.
-Documents are joined with one shard after the other, a block of texts at a
-time, so a task holds one shard and one block, however many shards there are.
+The models are of all training text. Distinct trigrams and their counts are
+kept packed, in shards by their middle word as in shard_katz: a shard has all
+counts that a probability needs but those of the word alone, and it is linear in
+that word's probability, p = a + b p(w). Frequent words' probabilities are known
+to all tasks, rare words' are joined to the (a, b) of where they are. Middle
+words of more trigrams than a task should hold are split by the word before;
+counts of their bigrams are merged and read by each shard that has a part.
+Documents' trigrams are shuffled to the shards, in rounds by hash of the id, so
+a task holds one shard of the model and a block of trigrams, and nothing is read
+once for each block of texts.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, functions as F, Window
-from pyspark.sql.types import DoubleType, LongType, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructType
 
-from .kernel import Lookup, by_bytes, combine, raw, tokens
-from .shared import drop, folder, written
+from .kernel import Lookup, by_bytes, combine, mix, raw, release, tokens
+from .shard_katz import _EDGE, _read, _unique, CODES, grams, Plan, vocabulary
+from .shared import drop, folder, forget, let_go, written
 
-_EDGE = np.uint64(0x1234567)
+#: Parts in which documents are scored, one after the other: what is shuffled at a time is a part of it.
+ROUNDS = 4
+#: Log ratio of words that no toxic text has.
+NEVER = -50.0
+#: Rows of counts: bigrams of split words, words, counts of counts of bigrams and of trigrams, trigrams.
+PAIR, WORD, TWICE, THRICE, GRAMS = range(5)
+#: Rows of scores: sums of a document's part in a shard, documents, occurrences of rare words.
+SUM, DOC, RARE = range(3)
 
 
-def padded(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens with two edge marks before and one after each row."""
-    rows = len(first) - 1
-    out = np.full(len(h) + 3 * rows, _EDGE, np.uint64)
-    out[np.arange(len(h)) + 3 * np.repeat(np.arange(rows), np.diff(first)) + 2] = h
-    return out, first + 3 * np.arange(rows + 1)
+def discounts(n: dict[int, int]) -> tuple[float, float, float]:
+    """Discounts of counts 1, 2 and more of modified Kneser-Ney from counts of counts; where these are too few, one half of the count."""
+    n1, n2, *_ = m = [n.get(i, 0) for i in (1, 2, 3, 4)]
+    y = n1 / (n1 + 2 * n2) if n1 else 0.0
+    d = [i - (i + 1) * y * m[i] / m[i - 1] if m[i - 1] else 0.0 for i in (1, 2, 3)]
+    return tuple(x if n1 and 0 < x < i else 0.5 * i for i, x in enumerate(d, 1))
 
 
-def trigrams(sample: DataFrame) -> DataFrame:
-    """(trusted, u, v, w, c): trigram counts by class; rows (_text, _trusted)."""
-    schema = StructType().add("trusted", LongType()).add("u", LongType()).add("v", LongType()).add("w", LongType())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "_text"):
-            h, first = padded(*tokens(*raw(b.column(0))))
-            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            ok = np.flatnonzero(row[2:] == row[:-2])
-            t = np.asarray(b.column(1).to_numpy(zero_copy_only=False), np.int64)[row[ok]]
-            yield pa.RecordBatch.from_arrays([pa.array(t), *(pa.array(h[ok + k].view(np.int64)) for k in range(3))], ["trusted", "u", "v", "w"])
+def _less(d: tuple[float, float, float]) -> Column:
+    return F.when(F.col("c") == 1, F.lit(d[0])).when(F.col("c") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
 
-    return sample.mapInArrow(run, schema).groupBy("trusted", "u", "v", "w").agg(F.count("*").alias("c"))
 
+def _packed(plan: Plan, held: list[tuple[np.ndarray, ...]]) -> list[pa.Array]:
+    """[shards, blocks] of (u, v, w, tag)."""
+    columns = [list(x) for x in zip(*held)]
+    held.clear()
+    u, v, w, tag = (np.concatenate(columns.pop(0)) for _ in range(4))
+    s = plan.shard(u, v)
+    o = np.argsort(s, kind="stable")
+    at = np.concatenate([[0], np.flatnonzero(np.diff(s[o])) + 1, [len(o)]]) if len(o) else np.zeros(1, np.int64)
+    parts = [o[i:j] for i, j in zip(at[:-1], at[1:])]
+    return [pa.array([int(s[p[0]]) for p in parts], pa.int32()), pa.array([plan.codes.pack(u[p], v[p], w[p], tag[p]) for p in parts], pa.binary())]
 
-def discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
-    """Discounts of counts 1, 2 and more of modified Kneser-Ney by class, from counts of counts; where these are too few, one half of the count."""
-    n = {(r["trusted"], r["c"]): r["count"] for r in counts.where("c <= 4").groupBy("trusted", "c").count().collect()}  # at most eight rows
-    out = {}
-    for t in (0, 1):
-        n1, n2, *_ = m = [n.get((t, i), 0) for i in (1, 2, 3, 4)]
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        d = [i - (i + 1) * y * m[i] / m[i - 1] if m[i - 1] else 0.0 for i in (1, 2, 3)]
-        out[t] = tuple(x if n1 and 0 < x < i else 0.5 * i for i, x in enumerate(d, 1))
-    return out
 
+def trigrams(sample: DataFrame, plan: Plan, most: int = 1 << 20) -> DataFrame:
+    """(shard, block): packed trigrams of rows (_text, _trusted), tagged by class."""
 
-def _less(d: tuple[float, float, float]) -> Column:
-    return F.when(F.col("c") == 1, F.lit(d[0])).when(F.col("c") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in by_bytes(batches, "_text", 1 << 20):
+            g, first = grams(*tokens(*raw(b.column(0))), 3)
+            held.append((*g, np.repeat(b.column(1).to_numpy(), np.diff(first))))
+            size += len(g[0])
+            if size >= most:
+                yield pa.RecordBatch.from_arrays(_packed(plan, held), ["shard", "block"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays(_packed(plan, held), ["shard", "block"])
+        release()
 
+    return sample.mapInArrow(run, "shard int, block binary")
 
-#: What the parts of the model are: words' probabilities, weights of one word, weights of two, bigrams, trigrams, log ratios of toxic words.
-WORD, ONE, TWO, BI, TRI, ODD = range(6)
 
+def counts(plan: Plan, blocks: DataFrame) -> DataFrame:
+    """(kind, shard, t, v, w, c, block) of the trigrams of whole shards, by class t; of class 1 also the distinct trigrams, tagged by their counts."""
+    names = ["kind", "shard", "t", "v", "w", "c", "block"]
 
-def train(sample: DataFrame, shard_grams: int = 1 << 19) -> str:
-    """Path of the model in the shared folder; rows (_text, _trusted).
+    def rows(kind: int, t: int, v: np.ndarray, w: np.ndarray, c: np.ndarray, shard: int = -1, block: bytes | None = None) -> pa.RecordBatch:
+        one = lambda x, k: pa.array(np.full(len(c), x, k))
+        return pa.RecordBatch.from_arrays([one(kind, np.int32), one(shard, np.int32), one(t, np.int32), pa.array(v.view(np.int64)), pa.array(w.view(np.int64)), pa.array(c.astype(np.int64)), pa.array([block] * len(c), pa.binary())], names)
 
-    It has a table of (key, x), x a logarithm, for each part and shard, sorted
-    by key, of about shard_grams n-grams each.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(list)
+        for b in batches:
+            for s, x in zip(b.column(0).to_pylist(), b.column(1)):
+                held[s].append(x.as_py())
+        for s in sorted(held):
+            columns = [list(x) for x in zip(*map(plan.codes.unpack, held.pop(s)))]
+            u, v, w, t = (np.concatenate(columns.pop(0)) for _ in range(4))
+            none = np.zeros(4, np.uint64)
+            for k in (0, 1):
+                i = np.flatnonzero(t == k)
+                at, c, _ = _unique(combine(combine(u[i], v[i]), w[i]))
+                u3, v3, w3 = (x[i[at]] for x in (u, v, w))
+                if k == 1:
+                    yield rows(THRICE, k, np.arange(1, 5), none, np.bincount(np.minimum(c, 5), minlength=6)[1:5])
+                    yield rows(GRAMS, k, none[:1], none[:1], np.array([len(c)]), s, plan.codes.pack(u3, v3, w3, c))
+                at, c, _ = _unique(combine(v3, w3))
+                v2, w2 = v3[at], w3[at]
+                split = plan.hot.find(v2) >= 0
+                yield rows(TWICE, k, np.arange(1, 5), none, np.bincount(np.minimum(c[~split], 5), minlength=6)[1:5])
+                yield rows(PAIR, k, v2[split], w2[split], c[split])
+                word, n = np.unique(w2[~split], return_counts=True)
+                yield rows(WORD, k, np.zeros(len(word), np.uint64), word, n)
+            del u, v, w, t
+            release()
+
+    return blocks.repartitionById(plan.shards, "shard").mapInArrow(run, "kind int, shard int, t int, v long, w long, c long, block binary")
+
+
+def train(sample: DataFrame, shard_grams: int = 3 << 18, codes: int = CODES, others: int = 0) -> tuple[Plan, str]:
+    """The model of all rows (_text, _trusted): what tasks share, and the folder of its tables.
+
+    A task should hold shard_grams trigrams; others is about how many are
+    scored in a round. The most frequent words, `codes` at most, are known to
+    all tasks.
     """
-    spark, used = sample.sparkSession, []
-
-    def kept(df: DataFrame) -> DataFrame:
-        used.append(folder(spark))
-        df.write.parquet(used[-1])
-        return spark.read.schema(df.schema).parquet(used[-1])
-
-    c3 = kept(trigrams(sample))
-    c2 = kept(c3.groupBy("trusted", "v", "w").agg(F.count("*").alias("c")))
-    c1 = kept(c2.groupBy("trusted", "w").agg(F.count("*").alias("c")))
-    d3, d2, d1 = discounts(c3)[1], discounts(c2)[1], discounts(c1)
-    sums = {r["trusted"]: r for r in c1.groupBy("trusted").agg(F.sum("c").alias("t"), F.count("*").alias("v"), *[F.sum(F.when(F.col("trusted") == t, _less(d1[t]))).alias(f"d{t}") for t in (0, 1)]).collect()}  # two rows
-    p0 = {t: r[f"d{t}"] / r["t"] / (r["v"] + 1) for t, r in sums.items()}
-    p1 = {t: c1.where(F.col("trusted") == t).select("w", ((F.col("c") - _less(d1[t])) / float(r["t"]) + p0[t]).alias("p")) for t, r in sums.items()}
-    unseen = p0.get(1, 1.0)  # where nothing was trained
-
-    def level(c: DataFrame, context: list[str], d: tuple[float, float, float], lower: DataFrame) -> tuple[DataFrame, DataFrame]:
-        ctx = kept(c.groupBy(*context).agg(F.sum("c").alias("t"), (F.sum(_less(d)) / F.sum("c")).alias("g")))
-        on = [x for x in lower.columns if x != "p"]
-        return ctx, kept(c.join(ctx, context).join(lower.withColumnRenamed("p", "q"), on).select(*context, "w", ((F.col("c") - _less(d)) / F.col("t") + F.col("g") * F.col("q")).alias("p")))
-
-    g1, p2 = level(c2.where("trusted = 1"), ["v"], d2, p1[1]) if 1 in p1 else (None, None)
-    g2, p3 = level(c3.where("trusted = 1"), ["u", "v"], d3, p2) if 1 in p1 else (None, None)
-    none = F.lit(0).cast("long")
-    parts = []
-
-    def part(df: DataFrame, kind: int, u: str | None, v: str | None, w: str | None, x: Column) -> None:
-        parts.append(df.select(F.lit(kind).alias("kind"), *[(F.col(c) if c else none).alias(a) for a, c in zip("uvw", (u, v, w))], x.cast("float").alias("x")))
-
-    if 1 in p1:
-        part(p1[1], WORD, None, None, "w", F.log("p"))
-        part(g1, ONE, None, "v", None, F.log("g"))
-        part(g2, TWO, "u", "v", None, F.log("g"))
-        part(p2, BI, None, "v", "w", F.log("p"))
-        part(p3, TRI, "u", "v", "w", F.log("p"))
-        if 0 in p1:
-            part(p1[0].join(p1[1].withColumnRenamed("p", "q"), "w", "left"), ODD, None, "w", None, F.log(F.col("p") / F.coalesce("q", F.lit(unseen))))
-    path = folder(spark)
-    if parts:
-        every = parts[0]
-        for x in parts[1:]:
-            every = every.union(x)
-        every = kept(every)
-        shards = max(1, -(-every.count() // shard_grams))
-        # the words' own probabilities are asked for in every shard
-        shard = F.when(F.col("kind") == WORD, F.lit(-1)).otherwise(F.pmod(F.shiftright("v", 20), F.lit(shards)))
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                kind = b.column(0).to_numpy()
-                u, v, w = (b.column(i).to_numpy().view(np.uint64) for i in (1, 2, 3))
-                key = np.where(kind == WORD, w, v)
-                for k, a, b2 in ((TWO, u, v), (BI, v, w)):
-                    key = np.where(kind == k, combine(a, b2), key)
-                key = np.where(kind == TRI, combine(combine(u, v), w), key)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), b.column(5), pa.array(key.view(np.int64))], ["kind", "x", "shard", "key"])
-
-        tables = every.withColumn("shard", shard).mapInArrow(keyed, "kind int, x float, shard long, key long")
-        tables.repartition("shard", "kind").sortWithinPartitions("shard", "kind", "key").select("key", "x", "shard", "kind").write.partitionBy("shard", "kind").parquet(path)
-    else:
-        shards = 1
-    spark.range(1).select(F.lit(shards).alias("shards"), F.lit(float(np.log(unseen))).alias("unseen")).write.parquet(f"{path}/size")
-    for at in used:
-        drop(spark, at)
-    return path
-
-
-class Model:
-    """The shards of a model, read one at a time."""
-
-    def __init__(self, path: str):
-        from pyarrow import fs
-
-        self.system, self.at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-        size = pq.read_table(f"{self.at}/size", filesystem=self.system).to_pylist()[0]
-        self.shards, self.unseen = size["shards"], size["unseen"]
-        self.words = self.load(-1, WORD)
-
-    def load(self, shard: int, kind: int) -> tuple[Lookup, np.ndarray]:
-        from pyarrow import fs
-
-        at = f"{self.at}/shard={shard}/kind={kind}"
-        if self.system.get_file_info(at).type == fs.FileType.NotFound:
-            return Lookup(np.zeros(0, np.uint64)), np.zeros(1, np.float32)
-        t = pq.read_table(at, filesystem=self.system, partitioning=None)
-        key, x = t["key"].to_numpy(), t["x"].to_numpy()
-        if not (key[1:] >= key[:-1]).all():  # more files than one
-            o = np.argsort(key)
-            key, x = key[o], x[o]
-        cut = int(np.searchsorted(key, 0))  # unsigned order
-        return Lookup(np.roll(key, -cut).view(np.uint64)), np.roll(x, -cut)
-
-    def score(self, x: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of log probabilities, largest log ratio) of each row of padded tokens, the end mark included."""
-        lp, odd = np.zeros(rows), np.full(rows, -np.inf)
-        if not len(x):
-            return lp, odd
-        place = np.flatnonzero(row[2:] == row[:-2]) + 2
-        of = ((x.view(np.int64) >> 20) % self.shards).astype(np.int32)
-        for s in range(self.shards):
-            at = place[of[place - 1] == s]
-            if len(at):
-                g1, g2, p2, p3 = (self.load(s, k) for k in (ONE, TWO, BI, TRI))
-                for i in range(0, len(at), 1 << 19):
-                    a = at[i : i + (1 << 19)]
-                    u, v, w = x[a - 2], x[a - 1], x[a]
-                    uv = combine(u, v)
-                    hit2 = g2[0].find(uv)
-                    some = hit2 >= 0  # only these can have a trigram
-                    y = np.where(some, g2[1][hit2], 0.0)  # an unknown context leaves all to the lower order
-                    hit = p2[0].find(combine(v, w))
-                    low = hit < 0
-                    y += np.where(low, 0.0, p2[1][hit])
-                    h1, h0 = g1[0].find(v[low]), self.words[0].find(w[low])
-                    y[low] += np.where(h1 >= 0, g1[1][h1], 0.0) + np.where(h0 >= 0, self.words[1][h0], self.unseen)
-                    both = np.flatnonzero(some & ~low)
-                    h3 = p3[0].find(combine(uv[both], w[both]))
-                    y[both[h3 >= 0]] = p3[1][h3[h3 >= 0]]
-                    lp += np.bincount(row[a], y, rows)
-            own = place[(of[place] == s) & (x[place] != _EDGE)]
-            if len(own):
-                toxic = self.load(s, ODD)
-                hit = toxic[0].find(x[own])
-                np.maximum.at(odd, row[own], np.where(hit >= 0, toxic[1][hit], -50.0))
-        return lp, odd
-
-
-_models: dict[str, Model] = {}
-
-
-def scores(docs: DataFrame, path: str, block_bytes: int = 16 << 20) -> DataFrame:
-    """(_id, _lang, n_tokens, perplexity, toxicity) of rows (_id, _lang, _text); one pass over the texts, nothing shuffled.
-
-    A task joins blocks of about block_bytes of text with the shards of the
-    model one by one, each read from the shared folder when its turn comes.
+    spark, path = sample.sparkSession, folder(sample.sparkSession)
+
+    def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
+        df.write.partitionBy(*by).parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    words = kept(vocabulary(sample), "words")
+    total, n_words = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    top = kept(words.orderBy(F.desc("c"), "w").limit(codes), "top")  # a table of fixed size
+    # how often a word is in the middle, of training text or of what is scored, whichever is more
+    often = F.col("c") * max(1.0, others / 2 / max(total, 1))
+    hot = {r["w"]: r["parts"] for r in words.where((often > shard_grams / 2) & (F.col("w") != int(_EDGE))).select("w", F.ceil(often * 2 / shard_grams).alias("parts")).collect()}  # about 2 * total / shard_grams at most
+    plan = Plan(3, max(1, -(-total // shard_grams), -(-others // (2 * shard_grams))), top.toPandas()["w"].to_numpy(np.int64).view(np.uint64), hot)
+    plan.whole = n_words <= codes
+    found = kept(counts(plan, trigrams(sample, plan)), "found", "kind", "shard")
+    let_go(spark)
+    pairs = kept(found.where(F.col("kind") == PAIR).groupBy("t", "v", "w").agg(F.sum("c").alias("c")).repartition("v"), "pairs", "t", "v")
+    one = found.where(F.col("kind") == WORD).select("t", "w", "c").unionByName(pairs.select("t", "w", F.lit(1).cast("long").alias("c")))
+    one = kept(one.groupBy("t", "w").agg(F.sum("c").alias("c")), "one")
+    hist = defaultdict(lambda: defaultdict(int))
+    for r in found.where(F.col("kind").isin(TWICE, THRICE)).groupBy("kind", "t", "v").agg(F.sum("c").alias("c")).collect():
+        hist[r["kind"], r["t"]][r["v"]] += r["c"]
+    for k, df in ((TWICE, pairs), (WORD, one)):
+        for r in df.where("c <= 4").groupBy("t", "c").count().collect():
+            hist[k, r["t"]][r["c"]] += r["count"]
+    plan.d3, plan.d2 = discounts(hist[THRICE, 1]), discounts(hist[TWICE, 1])
+    d1 = {t: discounts(hist[WORD, t]) for t in (0, 1)}
+    sums = {r["t"]: r for r in one.groupBy("t").agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.sum(F.when(F.col("t") == t, _less(d1[t]))).alias(f"d{t}") for t in (0, 1)]).collect()}  # two rows
+    p0 = {t: r[f"d{t}"] / r["n"] / (r["v"] + 1) for t, r in sums.items()}
+    plan.unseen = p0.get(1, 1.0)  # 1 where nothing was trained
+    p = {t: F.max(F.when(F.col("t") == t, (F.col("c") - _less(d1[t])) / float(sums[t]["n"]) + p0[t])) if t in sums else F.lit(None).cast("double") for t in (0, 1)}
+    odd = F.when(F.col("w") == int(_EDGE), F.lit(float("-inf"))).otherwise(F.coalesce(F.log(F.col("q") / F.col("p")), F.lit(NEVER)) if 1 in sums else F.lit(NEVER))
+    single = one.groupBy("w").agg(F.coalesce(p[1], F.lit(plan.unseen)).alias("p"), p[0].alias("q")).select("w", "p", odd.alias("odd"))
+    single = kept(single, "single")
+    known = single.join(top.select("w"), "w").toPandas()  # as many as have codes
+    i = plan.codes.lookup.find(known["w"].to_numpy(np.int64).view(np.uint64))
+    plan.p1, plan.odd = np.full(len(top_keys := plan.codes.lookup.keys), plan.unseen), np.full(len(top_keys), NEVER)
+    plan.p1[i], plan.odd[i] = known["p"].to_numpy(np.float64), known["odd"].to_numpy(np.float64)
+    for name in ("words", "top", "one", "pairs/t=0", *(f"found/kind={k}" for k in range(GRAMS))):
+        drop(spark, f"{path}/{name}")
+    let_go(spark)
+    return plan, path
+
+
+def _sums(key: np.ndarray, *x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(sorted distinct keys, sum of each x)."""
+    o = np.argsort(key)
+    k = key[o]
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return (k[start], *(np.add.reduceat(y[o], start) if len(k) else np.zeros(0) for y in x))
+
+
+class Shard:
+    """The discounted shares and what is left to lower orders of the trigrams of a shard."""
+
+    def __init__(self, plan: Plan, path: str, shard: int):
+        t = _read(f"{path}/found/kind={GRAMS}/shard={shard}", ["block"])
+        parts = [plan.codes.unpack(b.as_py()) for b in t["block"]] if t is not None else []
+        columns = [list(x) for x in zip(*parts)] or [[np.zeros(0, np.uint64)]] * 3 + [[np.zeros(0, np.int64)]]
+        del parts, t
+        u, v, w, c = (np.concatenate(columns.pop(0)) for _ in range(4))  # each column's parts are freed before the next is put together
+        less = lambda d, c: np.array([0.0, *d])[np.minimum(c, 3)]
+        context, left = combine(u, v), less(plan.d3, c)
+        del u
+        key, n, g = _sums(context, c.astype(np.float64), left)
+        self.two = Lookup(key), g / n
+        del key, g
+        share = (c - left) / n[self.two[0].find(context)]
+        del left, n, c
+        key = combine(context, w)
+        del context
+        o = np.argsort(key)
+        share, key = share[o], key[o]
+        del o
+        self.tri = Lookup(key), share
+        del key, share
+        at, c, _ = _unique(combine(v, w))
+        v, w = v[at], w[at]
+        split = plan.hot.find(v) >= 0
+        v, w, c = v[~split], w[~split], c[~split]
+        for h, n in zip(plan.hot.keys, plan.parts):  # those that have a part here, whether or not it was trained
+            parts = combine(np.repeat(mix(np.array([h])), int(n)), np.arange(int(n), dtype=np.uint64))
+            t = _read(f"{path}/pairs/t=1/v={h.view(np.int64)}", ["w", "c"]) if (parts % np.uint64(plan.shards) == shard).any() else None
+            if t is not None:
+                w2 = t["w"].to_numpy().view(np.uint64)
+                v, w, c = np.append(v, np.full(len(w2), h)), np.append(w, w2), np.append(c, t["c"].to_numpy())
+        left = less(plan.d2, c)
+        key, n, g = _sums(v, c.astype(np.float64), left)
+        self.one = Lookup(key), g / n
+        share, key = (c - left) / n[self.one[0].find(v)], combine(v, w)
+        o = np.argsort(key)
+        self.bi = Lookup(key[o]), share[o]
+        release()
+
+    def score(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a, b): the probabilities are a + b times those of the words alone."""
+
+        def take(part: tuple[Lookup, np.ndarray], key: np.ndarray, none: float) -> np.ndarray:
+            i = part[0].find(key)
+            out = np.full(len(key), none)
+            out[i >= 0] = part[1][i[i >= 0]]
+            return out
+
+        uv = combine(u, v)
+        g = take(self.two, uv, 1.0)  # an unknown context leaves all to the lower order
+        return take(self.tri, combine(uv, w), 0.0) + g * take(self.bi, combine(v, w), 0.0), g * take(self.one, v, 1.0)
+
+
+def scores(docs: DataFrame, model: tuple[Plan, str], rounds: int = ROUNDS, most: int = 1 << 20, most_at_once: int = 1 << 18) -> DataFrame:
+    """(_id, _lang, n_tokens, perplexity, toxicity) of rows (_id, _lang, _text), written.
+
+    Their trigrams are packed by about `most` and looked up by about
+    most_at_once, in rounds by hash of the id.
     """
-    schema = StructType().add("_id", docs.schema["_id"].dataType).add("_lang", docs.schema["_lang"].dataType).add("n_tokens", LongType()).add("perplexity", DoubleType()).add("toxicity", DoubleType())
-
-    def judged(block: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        size = [len(first) - 1 for _, _, first in block]
-        n = np.concatenate([np.diff(first) for _, _, first in block])
-        x = np.concatenate([x for _, x, _ in block])
-        lp, odd = _models[path].score(x, np.repeat(np.arange(len(n), dtype=np.int32), n), len(n))
-        n -= 3  # the marks
-        none, ppl, at = n == 0, np.exp(-lp / (n + 1)), 0
-        for (b, _, _), k in zip(block, size):
-            part = slice(at, at + k)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n[part]), pa.array(ppl[part], mask=none[part]), pa.array(odd[part], mask=none[part])], schema.names)
-            at += k
+    (plan, path), spark, out = model, docs.sparkSession, folder(docs.sparkSession)
+    ids = [("_id", docs.schema["_id"].dataType), ("_lang", docs.schema["_lang"].dataType)]
+    blocks = StructType().add("shard", IntegerType()).add("block", BinaryType()).add("_row", LongType()).add("n", LongType())
+    sums = StructType().add("kind", IntegerType()).add("_row", LongType()).add("n", LongType()).add("w", LongType()).add("x", DoubleType()).add("y", DoubleType())
+    final = StructType()
+    for name, kind in ids:
+        blocks, sums, final = blocks.add(name, kind), sums.add(name, kind), final.add(name, kind)
+    final = final.add("n_tokens", LongType()).add("perplexity", DoubleType()).add("toxicity", DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _models:
-            _models.clear()
-            _models[path] = Model(path)
-        block, held = [], 0
-        for b in by_bytes(batches, "_text", 2 << 20):
-            data, offs = raw(b.column(2))
-            block.append((b.select([0, 1]), *padded(*tokens(data, offs))))
-            held += data.size
-            if held >= block_bytes:
-                yield from judged(block)
-                block, held = [], 0
-        if block:
-            yield from judged(block)
-
-    return docs.mapInArrow(run, schema)
-
-
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 1000, perplexity_q: float = 0.995, toxicity_q: float = 0.99, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+        held, size, base = [], 0, 0
+
+        def packed() -> pa.RecordBatch:
+            s, x = _packed(plan, held)
+            n = len(s)
+            return pa.RecordBatch.from_arrays([s, x, pa.array(np.full(n, base)), pa.nulls(n, pa.int64()), *(pa.nulls(n, t) for t in types)], blocks.names)
+
+        for b in by_bytes(batches, "_text", 1 << 20):
+            types, row = (b.column(0).type, b.column(1).type), b.column(3).to_numpy()
+            h, first = tokens(*raw(b.column(2)))
+            yield pa.RecordBatch.from_arrays([pa.array((row % plan.shards).astype(np.int32)), pa.nulls(b.num_rows, pa.binary()), b.column(3), pa.array(np.diff(first)), b.column(0), b.column(1)], blocks.names)
+            g, first = grams(h, first, 3)
+            if held and (size + len(g[0]) > most or row[-1] - base >= 1 << 32):
+                yield packed()
+                held, size = [], 0
+            base = base if held else row[0]
+            held.append((*g, np.repeat(row - base, np.diff(first))))
+            size += len(g[0])
+        if held:
+            yield packed()
+        release()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(list)
+        for b in batches:
+            doc = b.filter(b.column(1).is_null())
+            types, n = (b.column(4).type, b.column(5).type), doc.num_rows
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, DOC, np.int32)), doc.column(2), doc.column(3), *[pa.nulls(n, t) for t in (pa.int64(), pa.float64(), pa.float64())], doc.column(4), doc.column(5)], sums.names)
+            for s, x, base in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                if x.is_valid:
+                    held[s].append((x.as_py(), base))
+
+        def rows(kind: int, row: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> pa.RecordBatch:
+            n = len(row)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(row), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()) if w is None else pa.array(w.view(np.int64)), pa.array(x), pa.array(y), *(pa.nulls(n, t) for t in types)], sums.names)
+
+        for s in sorted(held):
+            shard, todo = Shard(plan, path, s), held.pop(s)
+            while todo:
+                parts, size = [], 0
+                while todo and size < most_at_once:
+                    x, base = todo.pop()
+                    parts.append(plan.codes.unpack(x))
+                    parts[-1] = (*parts[-1][:3], parts[-1][3] + base)
+                    size += len(parts[-1][0])
+                columns = [list(x) for x in zip(*parts)]
+                del parts
+                u, v, w, row = (np.concatenate(columns.pop(0)) for _ in range(4))
+                a, b = shard.score(u, v, w)
+                i = plan.codes.lookup.find(w)
+                known = i >= 0
+                p, odd = np.full(len(w), plan.unseen), np.full(len(w), NEVER)
+                p[known], odd[known] = plan.p1[i[known]], plan.odd[i[known]]
+                if not plan.whole:
+                    rare = ~known
+                    yield rows(RARE, row[rare], a[rare], b[rare], w[rare])
+                    a, b, p, odd, row = a[known], b[known], p[known], odd[known], row[known]
+                if len(row):
+                    o = np.argsort(row, kind="stable")
+                    row, lp, odd = row[o], np.log(a + b * p)[o], odd[o]
+                    start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                    yield rows(SUM, row[start], np.add.reduceat(lp, start), np.maximum.reduceat(odd, start))
+            del shard
+            release()
+
+    single = spark.read.schema("w long, p double, odd double").parquet(f"{path}/single")
+    for r in range(rounds):
+        at = folder(spark)
+        part = docs.where(F.pmod(F.xxhash64("_id"), F.lit(rounds)) == r).select("_id", "_lang", "_text", F.monotonically_increasing_id().alias("_row"))
+        part.mapInArrow(run, blocks).repartitionById(plan.shards, "shard").mapInArrow(judge, sums).write.partitionBy("kind").parquet(at)
+        let_go(spark)
+        each = spark.read.schema(sums).parquet(at)
+        total = each.where(F.col("kind") == SUM).select("_row", "x", "y")
+        if not plan.whole:
+            p = F.log(F.col("x") + F.col("y") * F.coalesce("p", F.lit(plan.unseen)))
+            total = total.unionByName(each.where(F.col("kind") == RARE).join(single, "w", "left").select("_row", p.alias("x"), F.coalesce("odd", F.lit(NEVER)).alias("y")))
+        total = total.groupBy("_row").agg(F.sum("x").alias("x"), F.max("y").alias("y"))
+        some = lambda c: F.when(F.col("n") > 0, c)
+        each.where(F.col("kind") == DOC).select("_row", "_id", "_lang", "n").join(total, "_row").select("_id", "_lang", F.col("n").alias("n_tokens"), some(F.exp(-F.col("x") / (F.col("n") + 1))).alias("perplexity"), some(F.col("y")).alias("toxicity")).write.mode("append").parquet(out)
+        drop(spark, at)
+        let_go(spark)
+    return spark.read.schema(final).parquet(out)
+
+
+def classify(docs: DataFrame, labels: DataFrame, sample: int | None = None, perplexity_q: float = 0.995, toxicity_q: float = 0.99, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, n_tokens, perplexity, toxicity, keep) of all documents.
 
-    labels has (id_col, quality, toxic). Of each language up to `sample` trusted
-    documents (quality 1, toxic 0) of a half chosen by hash of the id train the
-    trusted model, and up to `sample` toxic ones train the toxic model. All
-    documents of the other trusted half set the thresholds.
+    labels has (id_col, quality, toxic). All trusted documents (quality 1,
+    toxic 0) of a half chosen by hash of the id train the trusted model, and all
+    toxic ones train the toxic model; only where `sample` is given, up to so
+    many of each language and class. All documents of the other trusted half set
+    the thresholds.
     A document is kept if its perplexity and toxicity are at most the
     quantiles perplexity_q and toxicity_q of its language's threshold documents;
     a language without any, or null, has those of all languages together. An
@@ -266,15 +359,21 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 1000, perplexity_
     lab = labels.groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = slim.groupBy("_id").agg(F.min("_lang").alias("_lang")).join(lab, "_id")
     kind = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.when(F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(2)) == 0, 1).otherwise(2)).when(F.col("toxic") == 1, 0)
-    w = Window.partitionBy("_lang", "_kind").orderBy(F.xxhash64("_id"), "_id")
     known = written(known.withColumn("_kind", kind).where("_kind is not null").select("_id", "_lang", "_kind"))
-    chosen = written(known.where("_kind < 2").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample).select("_id", "_kind"))
+    chosen = known.where("_kind < 2")
+    if sample is not None:
+        w = Window.partitionBy("_lang", "_kind").orderBy(F.xxhash64("_id"), "_id")
+        chosen = written(chosen.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample))
+    chosen = chosen.select("_id", "_kind")
     if not chosen.where("_kind = 1").limit(1).count():
         none = F.lit(None).cast("double")
         return slim.select(F.col("_id").alias(id_col), F.col("_lang").alias(lang_col), F.lit(None).cast("long").alias("n_tokens"), none.alias("perplexity"), none.alias("toxicity"), F.coalesce(F.length(F.trim("_text")) > 0, F.lit(False)).alias("keep"))
-    text = written(slim.join(F.broadcast(chosen), "_id"))  # at most 2 * sample ids a language
-    path = train(text.select("_text", F.col("_kind").cast("long").alias("_trusted")))
-    scored = written(scores(slim, path))
+    text = written(slim.join(chosen, "_id").select("_text", F.col("_kind").cast("long").alias("_trusted")))
+    size = slim.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    model = train(text, others=size // 4 // ROUNDS)  # a token has four bytes or more with what is around it
+    forget(text)
+    scored = scores(slim, model)
+    drop(slim.sparkSession, model[1])
     held = scored.join(known.where("_kind = 2").select("_id"), "_id", "left_semi")
     cut = [F.percentile("perplexity", F.lit(perplexity_q)).alias("p"), F.percentile("toxicity", F.lit(toxicity_q)).alias("t")]
     every = held.agg(*cut).first()
