@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructType
 
 from .kernel import _WORD, by_bytes, fold, raw
+from .shared import written
 
 _SPACE = np.uint8(32)
+#: Bytes of text that are normalised at a time: a byte has some thirty in arrays beside it.
+BLOCK = 1 << 20
 
 
 def normalise(data: np.ndarray, offs: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -82,8 +85,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     # a passage may be in several automata: hits of a row that meet are one
     from pyspark.sql import Window
 
-    from .shared import written
-
     slim = written(slim.withColumn("_row", F.monotonically_increasing_id()))
     by_row = StructType().add("_row", LongType()).add("_item", ikind).add("start", LongType()).add("end", LongType()).add("matched", LongType()).add("_w", LongType())
     out = None
@@ -113,7 +114,7 @@ def _scan(items, schema):
             _automata.clear()
             _automata[items._path] = a
         a, arrow = _automata[items._path], to_arrow_schema(schema)
-        for b in by_bytes(batches, "_text"):
+        for b in by_bytes(batches, "_text", BLOCK):
             data, offs = raw(b.column(1))
             norm, new, src = normalise(data, offs)
             text = norm.decode("latin-1")
@@ -148,7 +149,10 @@ def _scan(items, schema):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents, with all their columns, in which contamination() finds nothing. Rows of null id are kept."""
+    """The documents, with all their columns, in which contamination() finds nothing. Rows of null id are kept.
+
+    The ids found are written first: few of them are broadcast, and no text is shuffled, least of all beside the scan.
+    """
     id_col = how.get("id_col", "doc_id")
-    bad = contamination(docs, benchmark, **how).select(F.col(id_col).alias("_bad")).distinct()
+    bad = written(contamination(docs, benchmark, **how).select(F.col(id_col).alias("_bad")).distinct())
     return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")

@@ -70,7 +70,7 @@ def sketches(docs: DataFrame, n: int, t: int, r: int) -> DataFrame:
     schema = StructType().add("_id", docs.schema["_id"].dataType).add("s1", LongType()).add("s2", LongType()).add("size", LongType()).add("bands", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "_text", 2 << 20):
+        for b in by_bytes(batches, "_text", 1 << 20):
             g, first = shingle_sets(*raw(b.column(1)), n)
             size = np.diff(first)
             has = np.flatnonzero(size)
@@ -124,7 +124,7 @@ def verify(docs: DataFrame, pairs: DataFrame, n: int, tau: float) -> DataFrame:
             part = np.frombuffer(bitmap, np.uint8)
             lo = (bucket - 1) * len(part)
             have[lo : lo + len(part)] |= part[: len(have) - lo]
-        for x in by_bytes(batches, "_text"):
+        for x in by_bytes(batches, "_text", 1 << 20):
             ok = np.ones(x.num_rows, bool)
             for k in range(4):
                 h = x.column(2 + k).to_numpy()
