@@ -225,3 +225,19 @@ def test_bm25_negative_idf_floor(spark):
     got = {r.term: r.idf for r in lexical.idf(lexical.terms(docs, "id", "text"), docs.agg(F.count("*").alias("n"))).collect()}
     raw = {"aa": math.log(0.5) - math.log(3.5), "bb": math.log(2.5) - math.log(1.5)}
     assert got["aa"] == pytest.approx(0.25 * (raw["aa"] + 2 * raw["bb"]) / 3) and got["bb"] == pytest.approx(raw["bb"])
+
+
+def test_files_are_scanned_once_by_all_cores(spark, tmp_path):
+    kept = []
+
+    def written(df):
+        df.write.parquet(str(tmp_path / f"{len(kept)}"))
+        kept.append(df.rdd.getNumPartitions())
+        return spark.read.schema(df.schema).parquet(str(tmp_path / f"{len(kept) - 1}"))
+
+    files = spark.createDataFrame([(f"/r/{p}", s) for p, s in SRC.items()], "path string, content string").coalesce(1)
+    for f in (T.nodes, T.edges):
+        got = f(files, written=written)
+        assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.select(*sorted(got.columns)).where("true").collect()), key=str) == sorted(map(tuple, (x := f(files)).select(*sorted(x.columns)).collect()), key=str)
+    assert kept == [4 * spark.sparkContext.defaultParallelism] * 2

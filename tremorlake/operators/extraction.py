@@ -11,7 +11,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as X
 
@@ -269,24 +272,41 @@ NODE = "node_id string, node_type string, name string, file_path string, line_st
 REF = "source_id string, edge_type string, file_path string, spec string, name string"
 
 
-def _map(files: DataFrame, which: int, schema: str) -> DataFrame:
-    columns = [c.split()[0] for c in schema.split(", ")]
+#: of a scan: nodes and references in one table
+SCAN = f"{NODE}, source_id string, edge_type string, spec string"
+
+
+def spread(rows: DataFrame, key: str, tasks_a_core: int = 4) -> DataFrame:
+    """Rows over all cores by key: what is expensive for each row shouldn't hang on how few files or row groups a table came in."""
+    return rows.repartition(tasks_a_core * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def scanned(files: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Nodes and references (edge_type isn't null) of files (path, content), which are read once, by all cores; of the columns of SCAN those asked for."""
+    schema = ", ".join(c for c in SCAN.split(", ") if not columns or c.split()[0] in columns)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                part = whole.slice(at, 500)
+                rows = [r for p, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if p is not None and s is not None for found in scan(p, s) for r in found]
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return spread(files.select("path", F.col("content").cast("string").alias("content")), "path").mapInArrow(run, schema)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [r for p, s in zip(pdf["path"], pdf["content"]) if p is not None and s is not None for r in scan(p, s)[which]]
-            yield pd.DataFrame(rows, columns=columns)
 
-    return files.select("path", F.col("content").cast("string").alias("content")).mapInPandas(run, schema)
+def nodes(files: DataFrame, written=lambda df: df) -> DataFrame:
+    """Nodes of files (path, content), with class, route and embedding text; external packages once for all files. written keeps what the scan gives, so that there is one."""
+    return classified(written(scanned(files, [c.split()[0] for c in NODE.split(", ")] + ["edge_type"]).where("edge_type IS NULL").drop("edge_type")))
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """Nodes of files (path, content), with class, route and embedding text; external packages once for all files."""
-    x = _map(files, 0, NODE)
+def classified(x: DataFrame) -> DataFrame:
     x = x.where("node_type <> 'ExternalPackage'").unionByName(x.where("node_type = 'ExternalPackage'").dropDuplicates(["node_id"]))
     kind = F.when(~F.col("node_type").isin("Enum", "Interface", "InterfaceField", "TypeAlias", "ExternalPackage"), X.file_class(F.col("file_path")))
     route = F.when(kind.isin("API_ROUTE", "PAGE_COMPONENT"), X.route_path(F.col("file_path")))
-    return x.withColumn("file_classification", kind).withColumn("route_path", route).withColumn("embed_text", embed_text())
+    x = x.withColumn("file_classification", kind).withColumn("route_path", route)
+    return x.withColumn("embed_text", embed_text()) if "docstring" in x.columns else x
 
 
 def embed_text():
@@ -294,7 +314,7 @@ def embed_text():
 
 
 def references(files: DataFrame) -> DataFrame:
-    return _map(files, 1, REF)
+    return scanned(files, [c.split()[0] for c in REF.split(", ")]).where("edge_type IS NOT NULL").select(*[c.split()[0] for c in REF.split(", ")])
 
 
 def resolve_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
@@ -311,9 +331,12 @@ def resolve_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.join(first, ["file_path", "spec"])
 
 
-def edges(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(source_id, target_id, edge_type) of files (path, content), all targets among their nodes and those known of other files."""
-    n, r = nodes(files), references(files)
+def edges(files: DataFrame, known: DataFrame | None = None, written=lambda df: df) -> DataFrame:
+    """(source_id, target_id, edge_type) of files (path, content), all targets among their nodes and those known of other files. written keeps what the scan gives, so that there is one."""
+    own = ["node_id", "node_type", "name", "file_path", "exported"]
+    extra = [c.split()[0] for c in NODE.split(", ")] if known is not None else own  # of nodes that are known more may be asked
+    x = written(scanned(files, [*extra, "source_id", "edge_type", "spec"]))
+    n, r = classified(x.where("edge_type IS NULL").select(*extra)), x.where("edge_type IS NOT NULL").select("source_id", "edge_type", "file_path", "spec", "name")
     if known is not None:
         n = n.select(*known.columns).unionByName(known.join(n.select("node_id"), "node_id", "left_anti"))
     ids = n.select(F.col("node_id").alias("target_id"))

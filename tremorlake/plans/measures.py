@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import evaluation as E, extraction as T, incremental as I
 from . import fixtures as fx
 from .registry import query
+from .store import written
 
 VARIANTS = [f"V{i}" for i in range(8)]
 _GT = "gt AS (SELECT lang AS cr, doc_id AS item, source FROM documents JOIN labels USING (doc_id) WHERE quality = 1)"
@@ -260,4 +261,4 @@ def ts_extract(spark: SparkSession, d: str) -> DataFrame:
     word = F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[^A-Za-z]+", "")
     src = F.concat(F.lit("import { api } from './api'\n\n/** Page. */\nexport function fn"), word, F.lit("(id: string): void {\n  const rows = load"), word, F.lit("(id)\n  return rows\n}\n\nexport const load"), word, F.lit(" = (id: string) => api(id)\n"))
     files = fx.table(spark, d, "pages").select(F.concat(F.lit("src/lib/p"), F.col("page_id").cast("string"), F.lit(".ts")).alias("path"), src.alias("content"))
-    return T.nodes(files).select("node_id", "node_type", "name", "file_path", "signature", "exported", "line_start")
+    return T.nodes(files, written).select("node_id", "node_type", "name", "file_path", "signature", "exported", "line_start")

@@ -205,7 +205,7 @@ SELECT f AS node_id, 'File' AS node_type, f AS file_path, false AS exported, 'UT
 UNION ALL SELECT f, 'File', f, false, 'UTILITY', NULL FROM c UNION ALL SELECT DISTINCT 'ext::axios', 'ExternalPackage', NULL, false, NULL, NULL FROM c UNION ALL SELECT f || '::C' || c, 'Class', f, true, 'UTILITY', 'Customer ' || c || '.' FROM c UNION ALL SELECT f || '::C' || c || '.run', 'Method', f, true, 'UTILITY', NULL FROM c
 UNION ALL SELECT f || '::I' || c, 'Interface', f, true, NULL, NULL FROM c UNION ALL SELECT f || '::I' || c || '.owner', 'InterfaceField', f, true, NULL, NULL FROM c UNION ALL SELECT f || '::load' || c, 'Function', f, true, 'UTILITY', NULL FROM c""")
 def code_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return T.nodes(repository(spark, d)).select("node_id", "node_type", "file_path", "exported", "file_classification", "docstring")
+    return T.nodes(repository(spark, d), written).select("node_id", "node_type", "file_path", "exported", "file_classification", "docstring")
 
 
 @query("""WITH n AS (SELECT n_nationkey AS n, 'src/lib/n' || n_nationkey || '.ts' AS f FROM nation), c AS (SELECT c_custkey AS c, c_nationkey AS n, 'src/lib/c' || c_custkey || '.ts' AS f, 'src/lib/n' || c_nationkey || '.ts' AS g FROM customer)
@@ -214,4 +214,4 @@ UNION ALL SELECT f, f || '::C' || c, 'CONTAINS' FROM c UNION ALL SELECT f, f ||
 UNION ALL SELECT f, g, 'IMPORTS' FROM c UNION ALL SELECT f, 'ext::axios', 'DEPENDS_ON_EXTERNAL' FROM c UNION ALL SELECT f || '::C' || c, g || '::N' || n, 'INHERITS' FROM c UNION ALL SELECT f || '::C' || c, f || '::C' || c || '.run', 'DEFINES_METHOD' FROM c
 UNION ALL SELECT f || '::C' || c || '.run', g || '::N' || n, 'TYPED_BY' FROM c UNION ALL SELECT f || '::C' || c || '.run', g || '::helper' || n, 'CALLS' FROM c UNION ALL SELECT f || '::load' || c, g || '::helper' || n, 'CALLS' FROM c UNION ALL SELECT f || '::I' || c || '.owner', f || '::C' || c, 'TYPED_BY' FROM c""")
 def code_edges(spark: SparkSession, d: str) -> DataFrame:
-    return T.edges(written(repository(spark, d)))
+    return T.edges(repository(spark, d), written=written)
