@@ -241,3 +241,15 @@ def test_files_are_scanned_once_by_all_cores(spark, tmp_path):
         assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, got.select(*sorted(got.columns)).where("true").collect()), key=str) == sorted(map(tuple, (x := f(files)).select(*sorted(x.columns)).collect()), key=str)
     assert kept == [4 * spark.sparkContext.defaultParallelism] * 2
+
+
+def test_propagation_reads_edges_once_and_repeated_ones_change_nothing(spark):
+    n = spark.createDataFrame([(x, "Function", "f", None) for x in "abcd"], "node_id string, node_type string, file_path string, file_class string")
+    rows = [("b", "a", "CALLS"), ("c", "b", "IMPLEMENTS"), ("c", "b", "TYPED_BY"), ("z", "b", "TYPED_BY"), ("d", "z", "TYPED_BY")]  # z isn't a node: it is reached and leads nowhere
+    e = spark.createDataFrame(rows, "source_id string, target_id string, edge_type string")
+    s = spark.createDataFrame([("a", 1, False)], "node_id string, ord int, low boolean")
+    assert G.degrees(e)._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    once, twice = (sorted(map(str, G.propagate(n, x, s, dims.edge_config(spark)).collect())) for x in (e, e.union(e)))
+    assert once == twice
+    got = {r.node_id: (r.depth, list(r.chain), list(r.path)) for r in G.propagate(n, e, s, dims.edge_config(spark)).collect()}
+    assert got == {"a": (0, [], ["a"]), "b": (1, ["CALLS"], ["a", "b"]), "c": (2, ["CALLS", "IMPLEMENTS"], ["a", "b", "c"]), "z": (2, ["CALLS", "TYPED_BY"], ["a", "b", "z"])}

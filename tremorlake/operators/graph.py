@@ -13,7 +13,8 @@ from ..functions.text import severity, severity_rank
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node_id, in_degree, out_degree, degree) over all edge types"""
-    ends = edges.select(F.col("source_id").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("target_id").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    end = lambda c, i: F.struct(F.col(c).alias("node_id"), F.lit(i).alias("i"), F.lit(1 - i).alias("o"))
+    ends = edges.select(F.explode(F.array(end("source_id", 0), end("target_id", 1))).alias("e")).select("e.*")
     return ends.groupBy("node_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("degree"))
 
 
@@ -28,11 +29,11 @@ def confidence_tiers(seeds: DataFrame, top: int = 5) -> DataFrame:
 
 
 def steps(edges: DataFrame, config: DataFrame) -> DataFrame:
-    """(u, nbr, edge_type, ord, max_depth): the neighbours that propagation may follow from u, by the direction of the edge type."""
+    """(u, nbr, edge_type, ord, max_depth): the neighbours that propagation may follow from u, by the direction of the edge type; repeated edges stay."""
     e = edges.join(F.broadcast(config), "edge_type")  # 14 rows
     u = F.when(F.col("direction") == "forward", F.col("source_id")).otherwise(F.col("target_id"))
     v = F.when(F.col("direction") == "forward", F.col("target_id")).otherwise(F.col("source_id"))
-    return e.select(u.alias("u"), v.alias("nbr"), "edge_type", "ord", "max_depth").distinct()
+    return e.select(u.alias("u"), v.alias("nbr"), "edge_type", "ord", "max_depth")
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, config: DataFrame, hub_degree: int = 20, max_depth: int = 3, written=lambda df: df) -> DataFrame:
@@ -46,40 +47,43 @@ def propagate(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, config: Data
     files. External packages and nodes of more incoming edges than their type
     allows aren't entered. Seeds stay as they are.
     """
-    deg = degrees(edges)
+    kinds = config.collect()  # 14 rows
     cap = F.create_map(*[F.lit(x) for kv in dims.FAN_IN.items() for x in kv])
-    info = nodes.join(deg, "node_id", "left").select(
-        "node_id", F.coalesce("degree", F.lit(0)).alias("degree"), (F.col("node_type") == dims.NEVER).alias("never"),
-        ((cap[F.col("node_type")] > 0) & (F.coalesce("in_degree", F.lit(0)) > cap[F.col("node_type")])).alias("crowded"), (F.col("file_class") == "UTILITY").alias("utility"),
-    )
+    edges = written(edges)
+    info = written(nodes.join(degrees(edges), "node_id", "left").select(
+        "node_id", (F.coalesce("degree", F.lit(0)) > hub_degree).alias("hub"),
+        F.coalesce((F.col("node_type") == dims.NEVER) | ((cap[F.col("node_type")] > 0) & (F.coalesce("in_degree", F.lit(0)) > cap[F.col("node_type")])), F.lit(False)).alias("closed"), F.coalesce(F.col("file_class") == "UTILITY", F.lit(False)).alias("utility"),
+    ))
     single = "cr" not in seeds.columns
     seeds = seeds.withColumn("cr", F.lit(0)) if single else seeds
     key = ["cr", "node_id"]
     first = seeds.groupBy(*key).agg(F.min_by("low", "ord").alias("low"), F.min("ord").alias("ord"))
-    closed = info.where(F.col("never") | F.col("crowded")).select(F.col("node_id").alias("nbr"))
-    step = written(steps(edges, config).join(closed, "nbr", "left_anti").join(info.select(F.col("node_id").alias("u"), (F.col("degree") > hub_degree).alias("hub")), "u").withColumnRenamed("ord", "edge_ord"))
-    start = first.join(info.select("node_id", "utility"), "node_id", "left")
-    level = start.select(*key, F.lit(0).alias("depth"), F.array().cast("array<string>").alias("chain"), F.array("node_id").alias("path"), F.col("node_id").alias("seed"), F.coalesce("low", F.lit(False)).alias("low"), F.coalesce("utility", F.lit(False)).alias("utility"), F.array(F.lpad(F.col("ord").cast("string"), 12, "0")).alias("seq"), F.lit(-1).alias("rank"))
+    step = written(steps(edges, config).join(info.where("closed").select(F.col("node_id").alias("nbr")), "nbr", "left_anti"))
+    # seq has the seed's place, then edge type and neighbour of each step: it gives the order, and chain and path in the end
+    level = first.join(info.select("node_id", "utility", "hub"), "node_id", "left").select(*key, F.col("node_id").alias("seed"), F.coalesce("low", F.lit(False)).alias("low"), F.coalesce("utility", F.lit(False)).alias("utility"), F.array(F.lpad(F.col("ord").cast("string"), 12, "0")).alias("seq"), F.lit(-1).alias("rank"), "hub")
     level = written(level)
-    found, best, given = level, level.select(*key, "rank"), level.select(*key)
+    found = level
     for depth in range(max_depth):
-        calls = F.col("edge_type") == "CALLS"
-        limit = F.when(F.col("hub") | (calls & (F.col("low") | F.col("utility"))), F.lit(1)).otherwise(F.col("max_depth"))
-        arrive = level.join(step, level["node_id"] == step["u"]).where(F.lit(depth) < limit)
-        arrive = arrive.select(
-            "cr", F.col("nbr").alias("node_id"), F.lit(depth + 1).alias("depth"), F.concat("chain", F.array("edge_type")).alias("chain"), F.concat("path", F.array("nbr")).alias("path"), "seed", "low", "utility",
-            F.concat("seq", F.array(F.lpad(F.col("edge_ord").cast("string"), 3, "0"), F.col("nbr"))).alias("seq"), severity_rank(severity(F.array("edge_type"))).alias("rank"),
-        ).join(given, key, "left_anti")
+        # what a node's degree, edge type and seed allow; nodes that aren't in the graph lead nowhere
+        open_ = level.where("hub IS NOT NULL" if not depth else "NOT hub").select("cr", F.col("node_id").alias("u"), "seed", "low", "utility", "seq")
+        arrive = open_.join(step.where(F.col("max_depth") > depth), "u")
+        if depth:
+            arrive = arrive.where((F.col("edge_type") != "CALLS") | ~(F.col("low") | F.col("utility")))
+        arrive = arrive.select("cr", F.col("nbr").alias("node_id"), "seed", "low", "utility", F.concat("seq", F.array(F.lpad(F.col("ord").cast("string"), 3, "0"), F.col("nbr"))).alias("seq"), severity_rank(severity(F.array("edge_type"))).alias("rank"))
+        # of one severity only the first arrival can be better than all before it, so at most three rows of a node are left
+        had = found.groupBy(*key).agg(F.min("rank").alias("had"))
         w = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-        before = best.groupBy(*key).agg(F.min("rank").alias("had"))
-        arrive = arrive.join(before, key, "left").withColumn("least", F.least(F.coalesce("had", F.lit(9)), F.coalesce(F.min("rank").over(w), F.lit(9)))).where(F.col("rank") < F.col("least"))
-        level = written(arrive.drop("had", "least"))
+        arrive = arrive.join(had, key, "left").where(F.col("rank") < F.coalesce("had", F.lit(9))).withColumn("run", F.min("rank").over(w)).where(F.col("rank") < F.coalesce("run", F.lit(9))).drop("had", "run")
+        level = written(arrive.join(info.select("node_id", "hub"), "node_id", "left").select(*level.columns))
         found = found.unionByName(level)
-        best = best.unionByName(level.select(*key, "rank"))
-        if not level.limit(1).count():
+        if depth + 1 < max_depth and not level.limit(1).count():
             break
-    last = found.groupBy(*key).agg(F.min_by(F.struct("depth", "chain", "path", "seed"), "rank").alias("t"))
-    return last.select(*(["node_id"] if single else key), "t.depth", "t.chain", "t.path", "t.seed", severity(F.col("t.chain")).alias("severity"), (F.col("t.depth") == 0).alias("is_seed"))
+    last = found.groupBy(*key).agg(F.min_by(F.struct("seq", "seed"), "rank").alias("t"))
+    name = F.create_map(*[F.lit(x) for r in kinds for x in (f"{r['ord']:03d}", r["edge_type"])])
+    chain = F.transform(F.filter("t.seq", lambda _, i: i % 2 == 1), lambda x: name[x])
+    path = F.concat(F.array("t.seed"), F.filter("t.seq", lambda _, i: (i > 0) & (i % 2 == 0)))
+    out = last.select(*(["node_id"] if single else key), ((F.size("t.seq") - 1) / 2).cast("int").alias("depth"), chain.alias("chain"), path.alias("path"), F.col("t.seed").alias("seed"))
+    return out.withColumn("severity", severity(F.col("chain"))).withColumn("is_seed", F.col("depth") == 0)
 
 
 def _key(df: DataFrame) -> list[str]:

@@ -79,7 +79,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: table(spark, d, n)
     key = lambda p, c: F.concat(F.lit(p + "::"), F.col(c).cast("string"))
     e = lambda n, a, b, k: t(n).select(key(*a).alias("source_id"), key(*b).alias("target_id"), F.lit(k).alias("edge_type"))
-    line = lambda a, b, k: t("lineitem").select(key(*a).alias("source_id"), key(*b).alias("target_id"), F.lit(k).alias("edge_type")).distinct()
+    line = lambda a, b, k: t("lineitem").select(a[1], b[1]).distinct().select(key(*a).alias("source_id"), key(*b).alias("target_id"), F.lit(k).alias("edge_type"))
     out = e("nation", ("r", "n_regionkey"), ("n", "n_nationkey"), "CONTAINS")
     for x in (
         e("customer", ("n", "c_nationkey"), ("c", "c_custkey"), "CONTAINS"), e("supplier", ("n", "s_nationkey"), ("s", "s_suppkey"), "CONTAINS"), e("orders", ("o", "o_orderkey"), ("c", "o_custkey"), "CALLS"),
