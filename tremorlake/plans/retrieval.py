@@ -36,7 +36,7 @@ def tok_terms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{DOC} SELECT term, df, round(idf, 6) AS idf FROM bd_i")
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
     docs = fx.docs(spark, d)
-    return lexical.idf(lexical.terms(docs, "id", "text"), docs.agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.idf(lexical.terms(docs, "id", "text"), docs.agg(F.count("*").alias("n")), written=written).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"{DOC} SELECT * FROM bd")
