@@ -23,3 +23,17 @@ def test_tokens_by_bytes(spark):
     counted = {(x.id, x.term): (x.tf, x.dl) for x in lexical.terms(df, "id", "text").collect()}
     assert counted == {(i, w): (ts.count(w), len(ts)) for i, ts in want.items() for w in ts}
     assert "split(" not in lexical.terms(df, "id", "text")._jdf.queryExecution().executedPlan().toString()  # the expression, one lambda a token, was most of the time
+
+
+def test_overlap_takes_terms_once_a_text(spark):
+    from tremorlake.operators import rescoring as R
+
+    pool = spark.createDataFrame([(c, n) for c in (1, 2) for n in "ab"], "cr int, node_id string")
+    texts = spark.createDataFrame([("a", None, "red apple tree"), ("b", "green apple", "unread"), ("c", None, None)], "node_id string, abstraction string, snippet string")
+    asked = spark.createDataFrame([(1, 0, "red apple"), (1, 1, "green"), (2, 0, "pear")], "cr int, q int, text string")
+    got, pairs = R.cross_encode(pool, texts, asked), R.cross_encode(pool, texts, asked, lambda rows: R.overlap(rows))
+    assert sorted(map(str, got.collect())) == sorted(map(str, pairs.collect()))
+    assert {(x.cr, x.node_id): x.raw for x in got.collect()} == {(1, "a"): 1.0, (1, "b"): 1.0, (2, "a"): 0.0, (2, "b"): 0.0}
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [i for i, x in enumerate(lines) if "Join " in x]
+    assert not any("split(" in x for x in lines[: joins[1]])  # the second join makes the pairs
